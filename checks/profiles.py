@@ -309,7 +309,7 @@ def advise_recommendations(spark, sf_dir):
     f"""SELECT "column", type, suitability_score,
                CASE WHEN suitability_score >= 90 THEN 'Perfect'
                     WHEN suitability_score >= 80 THEN 'Excellent' ELSE 'Very Good' END AS band,
-               round(cardinality_ratio * 100, 2) AS cardinality_ratio, unique_values,
+               CAST(printf('%.2f', cardinality_ratio * 100) AS DOUBLE) AS cardinality_ratio, unique_values,
                total_values, regexp_replace(transforms, ' [0-9]+', '', 'g') AS transforms
         FROM ({_advice_sql("lineitem", FLAT_TABLES["lineitem"], _INT_LABELS)})""",
 )

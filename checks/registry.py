@@ -119,6 +119,8 @@ def write_csv(
             escape=dialect.quote,
             header=str(dialect.header).lower(),
             extension=extension,
+            ignoreLeadingWhiteSpace="false",
+            ignoreTrailingWhiteSpace="false",
         )
         .csv(path)
     )

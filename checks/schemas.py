@@ -77,9 +77,13 @@ def edited_schema(spark, sf_dir):
 )
 def required_violations_query(spark, sf_dir):
     df = table(spark, sf_dir, "events").select(
-        "event_id",
-        F.when(F.col("event_id") % 10 == 0, "N/A").otherwise(F.col("user_id")).alias("user_id"),
-        F.when(F.col("event_id") % 4 == 1, "n.a.").otherwise(F.col("value")).alias("value"),
+        F.col("event_id").cast("string").alias("event_id"),
+        F.when(F.col("event_id") % 10 == 0, "N/A")
+        .otherwise(F.col("user_id").cast("string"))
+        .alias("user_id"),
+        F.when(F.col("event_id") % 4 == 1, "n.a.")
+        .otherwise(F.col("value").cast("string"))
+        .alias("value"),
     )
     schema = declared_schema(
         [
@@ -169,7 +173,7 @@ def infer_mixed_kinds(spark, sf_dir):
     key = F.col("o_orderkey")
     day = F.col("o_orderdate").cast("date").cast("string")
     df = table(spark, sf_dir, "orders").select(
-        F.when(key % 2 == 0, key.cast("string")).otherwise(F.col("o_totalprice")).alias("a"),
+        F.when(key % 2 == 0, key.cast("string")).otherwise(F.col("o_totalprice").cast("string")).alias("a"),
         F.when(key % 2 == 0, day).otherwise(F.concat(day, F.lit("T10:30"))).alias("b"),
         F.get(F.array(F.lit("TRUE"), F.lit("false"), F.lit("NA")), (key % 3).cast("int")).alias(
             "c"
@@ -238,7 +242,7 @@ def sample_values_query(spark, sf_dir):
 @query(
     "nested_as_text",
     """SELECT vec_id, len(embedding) AS n, label,
-              round(list_sum(list_transform(embedding, x -> CAST(x AS DOUBLE))), 4) AS total
+              round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total
        FROM embeddings""",
 )
 def nested_as_text(spark, sf_dir):

@@ -220,7 +220,9 @@ def dry_run_overwrite(spark, sf_dir):
 )
 def load_stats(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    late = F.when(F.col("event_id") % 7 == 0, "late misfit").otherwise(F.col("value"))
+    late = F.when(F.col("event_id") % 7 == 0, "late misfit").otherwise(
+        F.col("value").cast("string")
+    )
     text, schema = prepare(
         spark,
         write_csv(events.withColumn("value", late), "events"),
@@ -242,7 +244,9 @@ def load_stats(spark, sf_dir):
 )
 def load_result(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "value")
-    late = F.when(F.col("event_id") % 7 == 0, "late misfit").otherwise(F.col("value"))
+    late = F.when(F.col("event_id") % 7 == 0, "late misfit").otherwise(
+        F.col("value").cast("string")
+    )
     result = load_csv(
         spark,
         write_csv(events.withColumn("value", late), "events"),

@@ -11,9 +11,38 @@ from .fixed import STATUS_LABELS
 _KB, _MB, _GB, _TB = (float(1024**i) for i in range(1, 5))
 
 
+# Splits a double into two halves whose products with small numbers are exact.
+_SPLITTER = 134217729.0
+
+
+def scaled_round(value: Column, digits: int) -> Column:
+    """``value * 10**digits`` rounded to a whole number, judged on the exact binary value.
+
+    Spark's own rounding judges the shortest decimal form, which differs where that form ends
+    in 5 and the stored number does not. Exact halves go to the even neighbour.
+    """
+    scale = F.lit(10.0**digits)
+    product = value * scale
+    upper = value * _SPLITTER - (value * _SPLITTER - value)
+    error = (upper * scale - product) + (value - upper) * scale
+    below = F.floor(product)
+    part = product - below
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (below % 2 != 0))))
+    return below + F.when(up, 1).otherwise(0)
+
+
+def round_exact(value: Column, digits: int) -> Column:
+    """The double nearest to ``value`` rounded to ``digits`` decimals."""
+    return scaled_round(value, digits) / F.lit(10.0**digits)
+
+
 def _fixed(value: Column, digits: int, suffix: str) -> Column:
-    # bround first: Java's formatter rounds halves up, the wanted form rounds them to even.
-    return F.format_string(f"%.{digits}f{suffix}", F.bround(value, digits))
+    """A non-negative value with a fixed number of decimals."""
+    whole = scaled_round(value, digits)
+    unit = 10**digits
+    return F.format_string(
+        f"%d.%0{digits}d{suffix}", F.floor(whole / unit), whole % unit
+    )
 
 
 def size_label(size: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.display import round_exact
 from ..functions.fixed import BANDS, LOWEST_BAND, MIN_SCORE, SCORES, TOP_COLUMNS, TRANSFORMS
 
 _RECOMMENDATIONS = "array<struct<transform:string,width:int,description:string,example:string>>"
@@ -96,7 +97,7 @@ def present(advice: DataFrame) -> DataFrame:
         "type",
         "suitability_score",
         score_band(F.col("suitability_score")).alias("band"),
-        F.bround(F.col("cardinality_ratio") * 100, 2).alias("cardinality_ratio"),
+        round_exact(F.col("cardinality_ratio") * 100, 2).alias("cardinality_ratio"),
         "unique_values",
         "total_values",
         F.col("recommendations.transform").alias("transforms"),

@@ -64,8 +64,9 @@ def _create_filled(
     using: str,
     transforms: Sequence[Transform],
     max_records_per_file: int | None,
+    mode: str = "errorifexists",
 ) -> None:
-    writer = _laid_out(df, transforms).write.format(using).mode("errorifexists")
+    writer = _laid_out(df, transforms).write.format(using).mode(mode)
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
     if transforms:
@@ -103,9 +104,10 @@ def write_table(
     """Write a frame, creating the table when it is missing.
 
     ``append`` adds rows. ``overwrite`` leaves exactly this frame: with ``replace_schema`` the
-    table is rebuilt beside the old one and swapped in once complete, so a failed load leaves
-    the old rows and a frame may read the table it replaces; without, the table keeps its schema
-    and layout. One Spark job writes all rows either way.
+    table is rebuilt, without, it keeps its schema and layout. A rebuilt table is written beside
+    the old one and swapped in once complete, so a failed load leaves the old rows and a frame
+    may read the table it replaces. Spark's in-memory catalog cannot rename partitioned tables;
+    there they are overwritten in place. One Spark job writes all rows either way.
     """
     if mode not in ("append", "overwrite"):
         raise ValueError(f"mode must be append or overwrite, not {mode!r}")
@@ -118,6 +120,8 @@ def write_table(
     elif mode == "append" or not replace_schema:
         kept = table_transforms(spark, name)
         _insert(df, name, kept, max_records_per_file, overwrite=mode == "overwrite")
+    elif transforms and spark.conf.get("spark.sql.catalogImplementation") == "in-memory":
+        _create_filled(df, name, using, transforms, max_records_per_file, mode="overwrite")
     else:
         stage = f"{name}__load_{uuid.uuid4().hex[:12]}"
         _create_filled(df, stage, using, transforms, max_records_per_file)

@@ -6,7 +6,6 @@ import json
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +14,9 @@ from ..functions.cells import column, null_tokens
 from ..operators.layout import Transform, add_partition_columns, spread_by_partition
 from ..operators.schema import apply_schema
 from ..plans.load import observed, prepare, rejected_counts
+from ..session import path_exists
 from ..sinks.catalog import create_table, quoted, resolve_table, table_exists
+from ..sinks.table import read_table
 from ..sources.csv import INPUT_GLOB, Dialect, column_names, text_schema
 
 # Every row carries the micro-batch that wrote it; replaying a batch replaces its own rows.
@@ -33,13 +34,10 @@ class IngestResult:
 
 
 def _stored_schema(spark: SparkSession, path: str) -> tuple[list[str], T.StructType] | None:
-    try:
-        saved = spark.read.text(path).head()
-    except AnalysisException:
+    # The marker appears only once the schema is completely written.
+    if not path_exists(spark, f"{path}/_SUCCESS"):
         return None
-    if saved is None:
-        return None
-    content = json.loads(saved["value"])
+    content = json.loads(spark.read.text(path).head()["value"])
     return content["names"], T.StructType.fromJson(content["schema"])
 
 
@@ -68,7 +66,7 @@ def _agreed_schema(
     if schema is None:
         names = text.columns
     content = json.dumps({"names": names, "schema": load_schema.jsonValue()})
-    spark.createDataFrame([(content,)], "value string").coalesce(1).write.text(path)
+    spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return names, load_schema
 
 
@@ -152,6 +150,4 @@ def ingest_dir(
 
 def read_ingested(spark: SparkSession, table: str) -> DataFrame:
     """An ingest table's data columns."""
-    from ..sinks.table import read_table
-
     return read_table(spark, table).drop(BATCH_COLUMN)
