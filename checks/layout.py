@@ -46,9 +46,18 @@ def part_month(spark, sf_dir):
     return _grouped(spark, sf_dir, Transform("o_orderdate", "month"))
 
 
-@query("part_day", _group_sql("CAST(o_orderdate AS DATE)"))
+@query(
+    "part_day",
+    """SELECT CAST(ts AS DATE) AS part, count(*) AS "rows", CAST(sum(event_id) AS BIGINT) AS keys
+       FROM events GROUP BY 1""",
+)
 def part_day(spark, sf_dir):
-    return _grouped(spark, sf_dir, Transform("o_orderdate", "day"))
+    target = _written(spark, sf_dir, "events", Transform("ts", "day"))
+    return (
+        spark.table(target)
+        .groupBy(F.col("ts_day").alias("part"))
+        .agg(F.count("*").alias("rows"), F.sum("event_id").alias("keys"))
+    )
 
 
 @query("part_truncate", _group_sql("substr(o_orderpriority, 1, 5)"))

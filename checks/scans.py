@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tableload.functions.names import clean_name_col
+from tableload.functions.samples import head_sample, random_sample
 from tableload.operators.columns import clean_columns, select_columns
 from tableload.operators.schema import (
     apply_schema,
@@ -13,7 +14,7 @@ from tableload.operators.schema import (
     infer_schema,
     typed_columns,
 )
-from tableload.sources.csv import INPUT_GLOB, Dialect, head_sample, random_sample, read_text
+from tableload.sources.csv import INPUT_GLOB, Dialect, read_text
 from tableload.sources.structure import field_counts, lines, structure_report
 
 from .registry import query, table, write_csv, write_lines

@@ -44,31 +44,33 @@ def _as_date(cell: Column) -> Column:
 def cell_kind(cell: Column) -> Column:
     """The kind bit of one text cell; 0 for null.
 
-    The first character decides which patterns can match at all, so prose costs one
-    single-character lookup and no regular expression.
+    The patterns exclude each other, so cheap tests of length and single characters first rule
+    out those that cannot match: prose costs no regular expression, most values only one.
     """
     start = F.substring(cell, 1, 1)
+    fifth = F.substring(cell, 5, 1)
+    size = F.octet_length(cell)
     numeric = (
         F.when(
-            cell.rlike(INTEGER_PATTERN),
-            F.when(cell.try_cast("bigint").isNotNull(), LONG).otherwise(DOUBLE),
-        )
-        .when(cell.rlike(NUMBER_PATTERN), DOUBLE)
-        .when(
-            cell.rlike(DATE_PATTERN),
+            (size == 10) & fifth.isin("-", "/") & cell.rlike(DATE_PATTERN),
             F.when(_as_date(cell).isNotNull(), DATE).otherwise(TEXT),
         )
         .when(
-            cell.rlike(TIMESTAMP_PATTERN),
+            size.between(16, 29) & (fifth == "-") & cell.rlike(TIMESTAMP_PATTERN),
             F.when(cell.try_cast("timestamp_ntz").isNotNull(), TIMESTAMP).otherwise(TEXT),
         )
+        .when(
+            (size <= 20) & ~cell.contains(".") & cell.rlike(INTEGER_PATTERN),
+            F.when(cell.try_cast("bigint").isNotNull(), LONG).otherwise(DOUBLE),
+        )
+        .when(cell.rlike(NUMBER_PATTERN), DOUBLE)
         .otherwise(TEXT)
     )
     return (
         F.when(cell.isNull(), 0)
         .when(start.isin(*_NUMERIC_START), numeric)
         .when(
-            start.isin(*_BOOLEAN_START) & (F.octet_length(cell) <= 5),
+            start.isin(*_BOOLEAN_START) & (size <= 5),
             F.when(cell.rlike(BOOLEAN_PATTERN), BOOLEAN).otherwise(TEXT),
         )
         .otherwise(TEXT)

@@ -11,44 +11,36 @@ from ..functions.fixed import BANDS, LOWEST_BAND, MIN_SCORE, SCORES, TOP_COLUMNS
 _RECOMMENDATIONS = "array<struct<transform:string,width:int,description:string,example:string>>"
 
 
-def _first_match(rules, value_of, default: Column) -> Column:
-    """The value of the first rule that holds, per class."""
-    out = None
-    for kind, cases in rules.items():
-        for condition, value in cases:
-            test = (F.col("class") == kind) & F.expr(condition)
-            out = F.when(test, value_of(value)) if out is None else out.when(
-                test, value_of(value)
-            )
-    return out.otherwise(default)
-
-
-def _example(transform: str, width: int | None, note: str) -> Column:
-    name = F.col("column")
+def _first_match(rules, value_sql, default: str) -> Column:
+    """The value of the first rule that holds, per class, as one CASE expression."""
+    cases = [
+        f"WHEN class = '{kind}' AND ({condition}) THEN {value_sql(value)}"
+        for kind, conditions in rules.items()
+        for condition, value in conditions
+    ]
+    return F.expr(f"CASE {' '.join(cases)} ELSE {default} END")
+
+
+def _recommendation_sql(transform: str, width: int | None, description: str, note: str) -> str:
     before, after = {
         "identity": ("", ""),
         "bucket": (f"bucket({width}, ", ")"),
         "truncate": ("truncate(", f", {width})"),
     }.get(transform, (f"{transform}(", ")"))
-    return F.concat(F.lit(f"PARTITION BY {before}"), name, F.lit(f"{after}{note}"))
-
-
-def _recommendations(transforms) -> Column:
-    items = [
-        F.struct(
-            F.lit(transform).alias("transform"),
-            F.lit(width).cast("int").alias("width"),
-            F.lit(description).alias("description"),
-            _example(transform, width, note).alias("example"),
-        )
-        for transform, width, description, note in transforms
-    ]
-    return F.array(*items).cast(_RECOMMENDATIONS)
+    return (
+        f"named_struct('transform', '{transform}', 'width', CAST({width or 'NULL'} AS INT), "
+        f"'description', '{description}', "
+        f"'example', concat('PARTITION BY {before}', column, '{after}{note}'))"
+    )
+
+
+def _recommendations_sql(transforms) -> str:
+    items = ", ".join(_recommendation_sql(*t) for t in transforms)
+    return f"CAST(array({items}) AS {_RECOMMENDATIONS})"
 
 
 def score_columns(profile_df: DataFrame) -> DataFrame:
     """Every profiled column that holds data, with its score and recommendations."""
-    none = F.array().cast(_RECOMMENDATIONS)
     scored = profile_df.where("total_values > 0").select(
         "*",
         F.col("cardinality_ratio").alias("r"),
@@ -58,8 +50,10 @@ def score_columns(profile_df: DataFrame) -> DataFrame:
     )
     return scored.select(
         *[c for c in profile_df.columns],
-        _first_match(SCORES, F.lit, F.lit(0)).alias("suitability_score"),
-        _first_match(TRANSFORMS, _recommendations, none).alias("recommendations"),
+        _first_match(SCORES, str, "0").alias("suitability_score"),
+        _first_match(TRANSFORMS, _recommendations_sql, _recommendations_sql(())).alias(
+            "recommendations"
+        ),
     )
 
 

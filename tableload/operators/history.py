@@ -38,7 +38,7 @@ JOB_FIELDS = (
     "error",
 )
 # Copies of a finished job's cut-off, so that one job's long update list spreads over tasks.
-_SALTS = 16
+_SALTS = 32
 
 
 def _order() -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.cells import as_text, cell_kind, column, parse_cell, type_of_mask
 from ..functions.names import clean_names
+from ..functions.samples import first_rows
 from ..functions.typenames import declared_type, logical_type, sql_type, type_label
 
 _MASKS = range(64)
@@ -75,7 +76,7 @@ def infer_schema(df: DataFrame, sample_rows: int | None = None) -> T.StructType:
     """
     if not df.columns:
         return T.StructType()
-    seen = df if sample_rows is None else df.limit(sample_rows)
+    seen = df if sample_rows is None else first_rows(df, sample_rows)
     masks = {r["field_id"]: r["mask"] for r in column_kinds(seen).collect()}
     return T.StructType(
         [

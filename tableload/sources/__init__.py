@@ -1,13 +1,11 @@
 """Delimited text sources."""
 
-from .csv import Dialect, head_sample, random_sample, read_text, row_count
+from .csv import Dialect, read_text, row_count
 from .structure import field_counts, structure_report
 
 __all__ = [
     "Dialect",
     "field_counts",
-    "head_sample",
-    "random_sample",
     "read_text",
     "row_count",
     "structure_report",

@@ -109,20 +109,3 @@ def read_text(
 def row_count(df: DataFrame) -> int:
     """Parsed rows; quoted newlines do not inflate it."""
     return df.count()
-
-
-def head_sample(df: DataFrame, rows: int, *, order_by: str | None = None) -> DataFrame:
-    """The first rows as read, or the first by a key when the choice must be repeatable."""
-    return (df.orderBy(column(order_by)) if order_by else df).limit(rows)
-
-
-def random_sample(
-    df: DataFrame, rows: int, *, seed: int = 42, total: int | None = None
-) -> DataFrame:
-    """About ``rows`` rows without replacement: a per-partition coin flip, never a shuffle.
-
-    The fraction is ``rows / total`` kept between 1% and everything.
-    """
-    total = df.count() if total is None else total
-    fraction = min(1.0, max(0.01, rows / total)) if total else 1.0
-    return df.sample(withReplacement=False, fraction=fraction, seed=seed)
