@@ -223,7 +223,7 @@ def load_stats(spark, sf_dir):
     late = F.when(F.col("event_id") % 7 == 0, "late misfit").otherwise(
         F.col("value").cast("string")
     )
-    text, schema = prepare(
+    text, schema, _ = prepare(
         spark,
         write_csv(events.withColumn("value", late), "events"),
         schema='[{"name": "event_id", "type": "Long"}, {"name": "user_id", "type": "Long"},'

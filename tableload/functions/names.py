@@ -48,13 +48,18 @@ def clean_names(names: list[str]) -> list[str]:
 
 
 def unique_names(names: list[str]) -> list[str]:
-    """Header names as read, with empty ones filled in and repeats numbered."""
-    out: list[str] = []
+    """Header names as read, with empty ones filled in and repeats numbered.
+
+    Spark ignores case in names, so names that differ only in case count as repeats. A numbered
+    name never takes one the header itself holds.
+    """
+    filled = [n.strip() or UNNAMED for n in names]
+    given = {n.lower() for n in filled}
     used: set[str] = set()
-    for raw in names:
-        name = candidate = raw.strip() or UNNAMED
-        repeat = 0
-        while candidate.lower() in used:
+    out: list[str] = []
+    for name in filled:
+        candidate, repeat = name, 0
+        while candidate.lower() in used or (candidate != name and candidate.lower() in given):
             candidate = f"{name}_duplicated_{repeat}"
             repeat += 1
         used.add(candidate.lower())

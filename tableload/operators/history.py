@@ -8,10 +8,12 @@ An update is ``(job_id, update_ts, seq, kind, fields)``; ``kind`` is ``create``,
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.cells import zoneless_micros
 from ..functions.display import seconds_between
 from ..functions.fixed import (
     KEEP_DAYS,
@@ -37,12 +39,16 @@ JOB_FIELDS = (
     "stderr",
     "error",
 )
+# One more than the largest sequence number.
+_SEQ_RANGE = Decimal(10**19)
 # Copies of a finished job's cut-off, so that one job's long update list spreads over tasks.
 _SALTS = 32
 
 
 def _order() -> Column:
-    return F.struct("update_ts", "seq")
+    """Time and sequence as one number, so that aggregates over it can hash instead of sort."""
+    micros = zoneless_micros(F.col("update_ts")).cast("decimal(38,0)")
+    return (micros * F.lit(_SEQ_RANGE) + F.col("seq")).cast("decimal(38,0)")
 
 
 def is_test_job(job_id: Column, flag: Column | None = None) -> Column:
@@ -51,23 +57,27 @@ def is_test_job(job_id: Column, flag: Column | None = None) -> Column:
     return named if flag is None else named | F.coalesce(flag, F.lit(False))
 
 
+def _field_aggregates(fields: Sequence[str]) -> list[Column]:
+    order = _order()
+    return [
+        F.max_by(
+            F.try_element_at("fields", F.lit(name)),
+            F.when(F.map_contains_key("fields", name), order),
+        ).alias(name)
+        for name in fields
+    ]
+
+
 def latest_fields(updates: DataFrame, fields: Sequence[str] = JOB_FIELDS) -> DataFrame:
     """Current value of each field per job: the last update that sets it wins, null included.
 
     One partially aggregated shuffle, so a job with very many updates is no hot spot. Works on a
     stream as well.
     """
-    order = _order()
     return updates.groupBy("job_id").agg(
         F.min("update_ts").alias("first_update"),
         F.max("update_ts").alias("last_update"),
-        *[
-            F.max_by(
-                F.try_element_at("fields", F.lit(name)),
-                F.when(F.map_contains_key("fields", name), order),
-            ).alias(name)
-            for name in fields
-        ],
+        *_field_aggregates(fields),
     )
 
 
@@ -87,65 +97,82 @@ def _before_finish(progress: DataFrame, finished: DataFrame) -> DataFrame:
     return joined.where(F.col("finish").isNull() | (_order() < F.col("finish")))
 
 
-def job_progress(updates: DataFrame) -> DataFrame:
-    """Status, progress and times per job under the progress rules.
-
-    Progress is clamped to 0-100 and ignored once the job has finished; the first value above 0
-    starts the job. A successful finish means 100.
-    """
+def _finish_aggregates() -> list[Column]:
     order = _order()
     status = F.try_element_at("fields", F.lit("status"))
     terminal = (F.col("kind") == "complete") & status.isin(*TERMINAL_STATUSES)
-    finish = F.when(terminal, order)
-    base = updates.groupBy("job_id").agg(
+    return [
         F.min(F.when(F.col("kind") == "create", F.col("update_ts"))).alias("created_at"),
-        F.min(finish).alias("finish"),
-        F.max_by(status, finish).alias("final_status"),
         F.max(F.when(terminal, F.col("update_ts"))).alias("completed_at"),
-        F.coalesce(
-            F.bool_or(terminal & (status == "completed")), F.lit(False)
-        ).alias("succeeded"),
-    )
+        F.max(F.when(terminal & (status == "completed"), order)).alias("last_success"),
+        F.max(F.when(terminal & (status == "failed"), order)).alias("last_failure"),
+    ]
+
+
+def _first_finish(updates: DataFrame) -> DataFrame:
+    status = F.try_element_at("fields", F.lit("status"))
+    ends = updates.where((F.col("kind") == "complete") & status.isin(*TERMINAL_STATUSES))
+    return ends.groupBy("job_id").agg(F.min(_order()).alias("finish"))
+
+
+def _with_progress(jobs: DataFrame, updates: DataFrame) -> DataFrame:
+    """Add status, progress, start and duration to one row per job."""
     raw = F.try_element_at("fields", F.lit("progress")).try_cast("double")
     percent = F.greatest(F.lit(0), F.least(F.lit(100), F.floor(raw))).cast("int")
-    progress = updates.where("kind = 'progress'").select(
-        "job_id", "update_ts", "seq", percent.alias("percent")
+    progress = (
+        updates.where("kind = 'progress'")
+        .select("job_id", "update_ts", "seq", percent.alias("percent"))
+        .where("percent is not null")
     )
-    progress = progress.where("percent is not null")
     live = (
-        _before_finish(progress, base.select("job_id", "finish").where("finish is not null"))
+        _before_finish(progress, _first_finish(updates))
         .groupBy("job_id")
         .agg(
-            F.max_by("percent", order).alias("percent"),
+            F.max_by("percent", _order()).alias("percent"),
             F.min(F.when(F.col("percent") > 0, F.col("update_ts"))).alias("started_at"),
         )
     )
-    started = F.col("started_at").isNotNull()
-    return base.join(live, "job_id", "left").select(
+    succeeded = F.col("last_success").isNotNull()
+    beaten = F.col("last_failure").isNotNull() & (
+        ~succeeded | (F.col("last_failure") > F.col("last_success"))
+    )
+    status = (
+        F.when(beaten, "failed")
+        .when(succeeded, "completed")
+        .when(F.col("started_at").isNotNull(), "running")
+        .otherwise("pending")
+    )
+    known = [c for c in jobs.columns if c not in ("job_id", "last_success", "last_failure")]
+    return jobs.join(live, "job_id", "left").select(
         "job_id",
-        F.coalesce(
-            "final_status", F.when(started, F.lit("running")).otherwise(F.lit("pending"))
-        ).alias("status"),
-        F.when(F.col("succeeded"), 100)
-        .otherwise(F.coalesce("percent", F.lit(0)))
-        .alias("progress"),
-        "created_at",
+        status.alias("status"),
+        F.when(succeeded, 100).otherwise(F.coalesce("percent", F.lit(0))).alias("progress"),
         "started_at",
-        "completed_at",
         seconds_between(F.col("started_at"), F.col("completed_at")).alias("duration"),
+        *known,
     )
 
 
+def job_progress(updates: DataFrame) -> DataFrame:
+    """Status, progress and times per job under the progress rules.
+
+    Progress is clamped to 0-100 and ignored once the job has finished; the first value above 0
+    starts the job. A successful finish means 100.
+    """
+    return _with_progress(updates.groupBy("job_id").agg(*_finish_aggregates()), updates)
+
+
 def job_states(updates: DataFrame) -> DataFrame:
     """Everything known about each job: progress rules plus its latest other fields."""
-    others = [f for f in JOB_FIELDS if f not in ("status", "is_test")]
-    fields = latest_fields(updates, [*others, "is_test"]).withColumnRenamed("is_test", "flag")
-    flag = F.col("flag").try_cast("boolean")
-    return (
-        job_progress(updates)
-        .join(fields.drop("first_update"), "job_id")
-        .withColumn("is_test", is_test_job(F.col("job_id"), flag))
-        .drop("flag")
+    others = [f for f in JOB_FIELDS if f != "status"]
+    jobs = updates.groupBy("job_id").agg(
+        F.max("update_ts").alias("last_update"),
+        *_finish_aggregates(),
+        *_field_aggregates(others),
+    )
+    flag = F.col("is_test").try_cast("boolean")
+    return _with_progress(jobs, updates).withColumn(
+        "is_test", is_test_job(F.col("job_id"), flag)
     )
 
 

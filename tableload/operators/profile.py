@@ -105,8 +105,7 @@ def profile(
         df = first_rows(df, sample_rows)
     pattern = _WHOLE if anchored else _ANYWHERE
     string_pos = [i for i, f in enumerate(df.schema) if isinstance(f.dataType, T.StringType)]
-    is_null = F.coalesce(F.col("whole").cast("string"), F.col("fraction").cast("string"), "text")
-    is_null = is_null.isNull()
+    is_null = F.col("whole").isNull() & F.col("fraction").isNull() & F.col("text").isNull()
     looks = F.coalesce(
         "hit", F.when(F.col("pos").isin(*string_pos), F.col("text").rlike(pattern))
     ) if string_pos else F.lit(False)

@@ -6,6 +6,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.fixed import DRY_RUN_ROWS_PER_SECOND, MAX_CHUNK_BYTES
 from ..functions.names import clean_name
-from ..operators.columns import chosen_columns, clean_columns, select_columns, unknown_columns
+from ..operators.columns import clean_columns, select_columns, unknown_columns
 from ..operators.compat import compare_schemas, schema_verdict
 from ..operators.layout import Transform, add_partition_columns
 from ..operators.schema import (
@@ -56,6 +57,14 @@ class LoadResult:
         return self.rows_processed / self.duration if self.duration else 0.0
 
 
+class Prepared(NamedTuple):
+    """Input ready to type: text columns, their schema, and column choices nobody knows."""
+
+    text: DataFrame
+    schema: T.StructType
+    ignored: list[str]
+
+
 class IncompatibleSchema(ValueError):
     """The input does not fit the existing table."""
 
@@ -70,14 +79,17 @@ def prepare(
     include: str | Iterable[str] | None = None,
     exclude: str | Iterable[str] | None = None,
     path_glob: str | None = None,
-) -> tuple[DataFrame, T.StructType]:
+    names: list[str] | None = None,
+) -> Prepared:
     """The chosen columns as text under clean names, and the schema they load under."""
-    text = select_columns(read_text(spark, path, dialect, path_glob=path_glob), include, exclude)
+    source = read_text(spark, path, dialect, names=names, path_glob=path_glob)
+    text = select_columns(source, include, exclude)
+    ignored = unknown_columns(source.columns, include, exclude)
     if isinstance(schema, str):
         schema = declared_schema(schema)
     if schema is None:
         text = clean_columns(text)
-        return text, infer_schema(text, sample_rows)
+        return Prepared(text, infer_schema(text, sample_rows), ignored)
     clean = T.StructType(
         [
             T.StructField(
@@ -89,7 +101,7 @@ def prepare(
             for f in schema
         ]
     )
-    return text, clean
+    return Prepared(text, clean, ignored)
 
 
 def fit_to_target(spark: SparkSession, schema: T.StructType, table: str) -> T.StructType:
@@ -147,7 +159,7 @@ def plan_load(
 ) -> DataFrame:
     """Dry run: one row on what ``load_csv`` would do. Counts are exact, nothing is written."""
     name = resolve_table(spark, table)
-    text, schema = prepare(spark, path, **prepare_options)
+    text, schema, _ = prepare(spark, path, **prepare_options)
     exists = table_exists(spark, name)
     rebuilds = exists and mode == "overwrite" and replace_schema
     creates = rebuilds or not exists
@@ -231,12 +243,7 @@ def load_csv(
         else:
             if progress:
                 progress(0)
-            text, load_schema = prepare(spark, path, **options)
-            if include or exclude:
-                available = read_text(spark, path, dialect, path_glob=path_glob).columns
-                result.ignored_columns = unknown_columns(available, include, exclude)
-                kept = chosen_columns(available, include, exclude)
-                result.log.append(f"kept {len(kept)} of {len(available)} columns")
+            text, load_schema, result.ignored_columns = prepare(spark, path, **options)
             rebuilds = mode == "overwrite" and replace_schema
             if table_exists(spark, name) and not rebuilds:
                 load_schema = fit_to_target(spark, load_schema, name)

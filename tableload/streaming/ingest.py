@@ -55,13 +55,14 @@ def _agreed_schema(
     if stored:
         return stored
     names = column_names(spark, directory, dialect, path_glob=INPUT_GLOB)
-    text, load_schema = prepare(
+    text, load_schema, _ = prepare(
         spark,
         directory,
         dialect=dialect,
         schema=schema,
         sample_rows=sample_rows,
         path_glob=INPUT_GLOB,
+        names=names,
     )
     if schema is None:
         names = text.columns
