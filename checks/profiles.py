@@ -286,18 +286,30 @@ def advise_all_scores(spark, sf_dir):
 
 @query(
     "advise_recommendations",
-    f"""WITH a AS ({_advice_sql("orders", FLAT_TABLES["orders"])}), parts AS (
-          SELECT "column", suitability_score, unnest(string_split(transforms, ',')) AS part,
+    f"""WITH a AS (SELECT * FROM ({_scored_sql("orders", FLAT_TABLES["orders"])})
+                   WHERE suitability_score >= 75 AND transforms <> ''
+                   ORDER BY suitability_score DESC, field_id LIMIT 5),
+        parts AS (
+          SELECT *, kind IN ('date', 'timestamp') OR date_like AS dated,
+                 unnest(string_split(transforms, ',')) AS part,
                  unnest(range(len(string_split(transforms, ',')))) AS position FROM a)
         SELECT "column", suitability_score, position, split_part(part, ' ', 1) AS transform,
                TRY_CAST(split_part(part, ' ', 2) AS INTEGER) AS width,
-               CASE split_part(part, ' ', 1)
-                 WHEN 'bucket' THEN 'Hash into ' || split_part(part, ' ', 2) || ' buckets'
-                 ELSE 'Partition by ' || part END AS description,
-               CASE split_part(part, ' ', 1)
-                 WHEN 'bucket' THEN 'PARTITION BY bucket(' || split_part(part, ' ', 2) || ', '
-                                    || "column" || ')'
-                 ELSE 'PARTITION BY ' || part || '(' || "column" || ')' END AS example
+               CASE WHEN part LIKE 'bucket %' THEN 'Hash into ' || split_part(part, ' ', 2)
+                                                   || ' buckets'
+                    WHEN part <> 'identity' THEN 'Partition by ' || part
+                    WHEN dated AND unique_values >= 10
+                      THEN 'Partition directly by date (low cardinality)'
+                    WHEN dated THEN 'Partition directly by date (very low cardinality)'
+                    WHEN suitability_score = 85
+                      THEN 'Partition directly by this column (excellent distribution)'
+                    WHEN suitability_score = 80
+                      THEN 'Partition directly by this column (good distribution)'
+                    ELSE 'Partition directly by this column' END AS description,
+               CASE WHEN part LIKE 'bucket %' THEN 'PARTITION BY bucket('
+                      || split_part(part, ' ', 2) || ', ' || "column" || ')'
+                    WHEN part = 'identity' THEN 'PARTITION BY ' || "column"
+                    ELSE 'PARTITION BY ' || part || '(' || "column" || ')' END AS example
         FROM parts""",
 )
 def advise_recommendations(spark, sf_dir):

@@ -258,6 +258,29 @@ def nested_as_text(spark, sf_dir):
     )
 
 
+@query(
+    "type_mapping",
+    """SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS tiny, CAST(l_linenumber AS INTEGER) AS small,
+              CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) AS price,
+              base64(encode(l_returnflag)) AS raw,
+              '{"a":' || l_linenumber || ',"b":"' || l_linestatus || '"}' AS pair,
+              l_quantity > 25 AS big, CAST(l_shipdate AS DATE) AS shipped FROM lineitem""",
+)
+def type_mapping(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        F.col("l_linenumber").cast("tinyint").alias("tiny"),
+        F.col("l_linenumber").cast("smallint").alias("small"),
+        F.col("l_extendedprice").cast("decimal(12,2)").alias("price"),
+        F.col("l_returnflag").cast("binary").alias("raw"),
+        F.struct(F.col("l_linenumber").alias("a"), F.col("l_linestatus").alias("b")).alias("pair"),
+        (F.col("l_quantity") > 25).alias("big"),
+        F.to_date("l_shipdate").alias("shipped"),
+    )
+    typed = apply_schema(read_text(spark, write_csv(df, "types")), schema_of(df))
+    return typed.withColumn("price", F.col("price").cast("double"))
+
+
 _EXISTING = {
     "O_ORDERKEY": "double",
     "o_custkey": "int",

@@ -272,3 +272,36 @@ def catalog_columns(spark, sf_dir):
     if not result.success:
         raise RuntimeError(result.error)
     return table_rows(spark, resolve_table(spark, target)).select("field_id", "name", "type")
+
+
+@query(
+    "write_overwrite_large",
+    """SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem
+       WHERE l_linenumber <> 4""",
+)
+def write_overwrite_large(spark, sf_dir):
+    target = _target(spark)
+    lineitem = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate"
+    )
+    write_table(lineitem, target)
+    later = lineitem.where("l_linenumber <> 4").repartition(6, "l_orderkey")
+    result = load_csv(spark, write_csv(later, "lineitem"), target, mode="overwrite")
+    if not result.success:
+        raise RuntimeError(result.error)
+    return spark.table(target).withColumn("l_linenumber", F.col("l_linenumber").cast("int"))
+
+
+@query(
+    "dry_run_ddl",
+    """SELECT '(' || string_agg('`' || column_name || '` ' || CASE column_type
+                WHEN 'TIMESTAMP' THEN 'TIMESTAMP_NTZ' WHEN 'DOUBLE' THEN 'DOUBLE'
+                WHEN 'VARCHAR' THEN 'STRING' ELSE 'BIGINT' END, ', ')
+              || ', `l_shipdate_month` STRING) USING parquet' AS ddl,
+              (SELECT count(*) FROM lineitem) AS total_rows
+       FROM (DESCRIBE lineitem)""",
+)
+def dry_run_ddl(spark, sf_dir):
+    path = write_csv(table(spark, sf_dir, "lineitem"), "lineitem")
+    plan = plan_load(spark, path, _target(spark), transforms=[Transform("l_shipdate", "month")])
+    return plan.select(F.regexp_extract("ddl", r"(\(.*)", 1).alias("ddl"), "total_rows")

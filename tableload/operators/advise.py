@@ -2,58 +2,81 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.display import round_exact
 from ..functions.fixed import BANDS, LOWEST_BAND, MIN_SCORE, SCORES, TOP_COLUMNS, TRANSFORMS
 
-_RECOMMENDATIONS = "array<struct<transform:string,width:int,description:string,example:string>>"
+_TEMPLATE = (
+    "array<array<struct<"
+    "transform:string,width:int,description:string,before:string,after:string>>>"
+)
 
 
-def _first_match(rules, value_sql, default: str) -> Column:
-    """The value of the first rule that holds, per class, as one CASE expression."""
+def _rule_number(rules) -> Column:
+    """The position of the first rule that holds, counted over all classes."""
+    conditions = [(kind, cond) for kind, cases in rules.items() for cond, _ in cases]
     cases = [
-        f"WHEN class = '{kind}' AND ({condition}) THEN {value_sql(value)}"
-        for kind, conditions in rules.items()
-        for condition, value in conditions
+        f"WHEN class = '{kind}' AND ({condition}) THEN {i}"
+        for i, (kind, condition) in enumerate(conditions)
     ]
-    return F.expr(f"CASE {' '.join(cases)} ELSE {default} END")
+    return F.expr(f"CASE {' '.join(cases)} END")
 
 
-def _recommendation_sql(transform: str, width: int | None, description: str, note: str) -> str:
+def _template(transform: str, width: int | None, description: str, note: str) -> dict:
     before, after = {
         "identity": ("", ""),
         "bucket": (f"bucket({width}, ", ")"),
         "truncate": ("truncate(", f", {width})"),
     }.get(transform, (f"{transform}(", ")"))
-    return (
-        f"named_struct('transform', '{transform}', 'width', CAST({width or 'NULL'} AS INT), "
-        f"'description', '{description}', "
-        f"'example', concat('PARTITION BY {before}', column, '{after}{note}'))"
+    return {
+        "transform": transform,
+        "width": width,
+        "description": description,
+        "before": f"PARTITION BY {before}",
+        "after": f"{after}{note}",
+    }
+
+
+def _recommendations(rule: Column) -> Column:
+    """The rule's recommendations with the column's name filled in."""
+    templates = [
+        [_template(*t) for t in transforms]
+        for cases in TRANSFORMS.values()
+        for _, transforms in cases
+    ]
+    # A constant: parsed once, when the plan is optimised.
+    chosen = F.get(F.from_json(F.lit(json.dumps(templates)), _TEMPLATE), rule)
+    filled = F.transform(
+        chosen,
+        lambda t: F.struct(
+            t["transform"].alias("transform"),
+            t["width"].alias("width"),
+            t["description"].alias("description"),
+            F.concat(t["before"], F.col("column"), t["after"]).alias("example"),
+        ),
     )
-
-
-def _recommendations_sql(transforms) -> str:
-    items = ", ".join(_recommendation_sql(*t) for t in transforms)
-    return f"CAST(array({items}) AS {_RECOMMENDATIONS})"
+    return F.coalesce(filled, F.array())
 
 
 def score_columns(profile_df: DataFrame) -> DataFrame:
     """Every profiled column that holds data, with its score and recommendations."""
-    scored = profile_df.where("total_values > 0").select(
+    ruled = profile_df.where("total_values > 0").select(
         "*",
         F.col("cardinality_ratio").alias("r"),
         F.col("unique_values").alias("u"),
         F.col("evenness").alias("e"),
         F.col("null_count").alias("nulls"),
     )
-    return scored.select(
-        *[c for c in profile_df.columns],
-        _first_match(SCORES, str, "0").alias("suitability_score"),
-        _first_match(TRANSFORMS, _recommendations_sql, _recommendations_sql(())).alias(
-            "recommendations"
-        ),
+    scores = [score for cases in SCORES.values() for _, score in cases]
+    score = F.get(F.from_json(F.lit(json.dumps(scores)), "array<int>"), _rule_number(SCORES))
+    return ruled.select(
+        *profile_df.columns,
+        F.coalesce(score, F.lit(0)).alias("suitability_score"),
+        _recommendations(_rule_number(TRANSFORMS)).alias("recommendations"),
     )
 
 

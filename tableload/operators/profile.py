@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,33 +20,26 @@ _WHOLE = f"^({_ANYWHERE})" + r"\z"
 _DIGEST_BYTES = 64
 
 
-def _key_struct(pos: int, cell: Column, data_type: T.DataType, pattern: str) -> Column:
-    """One cell as a typed grouping key: whole numbers and times as bigint, fractions as
-    double, everything else as text."""
-    whole = fraction = text = hit = None
+def _typed_key(cell: Column, data_type: T.DataType, pattern: str) -> dict[str, Column]:
+    """One cell as a grouping key: whole numbers and times as bigint, fractions as double,
+    everything else as text."""
     if isinstance(data_type, T.DateType):
-        whole = F.unix_date(cell).cast("bigint")
-    elif isinstance(data_type, T.TimestampNTZType):
-        whole = zoneless_micros(cell)
-    elif isinstance(data_type, T.TimestampType):
-        whole = F.unix_micros(cell)
-    elif isinstance(data_type, (T.IntegralType, T.BooleanType)):
-        whole = cell.cast("bigint")
-    elif isinstance(data_type, T.FractionalType) and not isinstance(data_type, T.DecimalType):
-        fraction = cell.cast("double")
-    else:
-        value = as_text(cell, data_type)
-        long_text = F.octet_length(value) > _DIGEST_BYTES
-        text = F.when(long_text, F.concat(F.lit("sha256:"), F.sha2(value, 256))).otherwise(value)
-        if isinstance(data_type, T.StringType):
-            hit = F.when(long_text, value.rlike(pattern))
-    return F.struct(
-        F.lit(pos).alias("pos"),
-        (F.lit(None) if whole is None else whole).cast("bigint").alias("whole"),
-        (F.lit(None) if fraction is None else fraction).cast("double").alias("fraction"),
-        (F.lit(None) if text is None else text).cast("string").alias("text"),
-        (F.lit(None) if hit is None else hit).cast("boolean").alias("hit"),
-    )
+        return {"whole": F.unix_date(cell).cast("bigint")}
+    if isinstance(data_type, T.TimestampNTZType):
+        return {"whole": zoneless_micros(cell)}
+    if isinstance(data_type, T.TimestampType):
+        return {"whole": F.unix_micros(cell)}
+    if isinstance(data_type, (T.IntegralType, T.BooleanType)):
+        return {"whole": cell.cast("bigint")}
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        return {"fraction": cell.cast("double")}
+    value = as_text(cell, data_type)
+    long_text = F.octet_length(value) > _DIGEST_BYTES
+    digest = F.concat(F.lit("sha256:"), F.sha2(value, 256))
+    key = {"text": F.when(long_text, digest).otherwise(value)}
+    if isinstance(data_type, T.StringType):
+        key["hit"] = F.when(long_text, value.rlike(pattern))
+    return key
 
 
 def value_counts(df: DataFrame, *, anchored: bool = False) -> DataFrame:
@@ -54,11 +49,19 @@ def value_counts(df: DataFrame, *, anchored: bool = False) -> DataFrame:
     task, so a value held by a third of all rows is no hot spot.
     """
     pattern = _WHOLE if anchored else _ANYWHERE
-    keys = F.array(
-        *[_key_struct(i, column(f.name), f.dataType, pattern) for i, f in enumerate(df.schema)]
-    )
+    unused = {
+        name: F.lit(None).cast(kind).alias(name)
+        for name, kind in (
+            ("whole", "bigint"), ("fraction", "double"), ("text", "string"), ("hit", "boolean"),
+        )
+    }
+    keys = []
+    for i, f in enumerate(df.schema):
+        used = _typed_key(column(f.name), f.dataType, pattern)
+        parts = {**unused, **{n: c.alias(n) for n, c in used.items()}}
+        keys.append(F.struct(F.lit(i).alias("pos"), *parts.values()))
     return (
-        df.select(F.inline(keys))
+        df.select(F.inline(F.array(*keys)))
         .groupBy("pos", "whole", "fraction", "text")
         .agg(F.bool_or("hit").alias("hit"), F.count("*").alias("rows"))
     )
@@ -68,7 +71,8 @@ def _named(per_column: DataFrame, schema: T.StructType) -> DataFrame:
     """Add name, type and class by position and derive the ratios."""
 
     def lookup(values: list[str]) -> Column:
-        return F.get(F.array(*[F.lit(v) for v in values]), F.col("pos"))
+        # A constant: parsed once, when the plan is optimised.
+        return F.get(F.from_json(F.lit(json.dumps(values)), "array<string>"), F.col("pos"))
 
     kind = lookup([type_class(f.dataType) for f in schema])
     filled = F.col("total_values") > 0

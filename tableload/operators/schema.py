@@ -22,8 +22,8 @@ def _field(name: str, data_type: T.DataType, field_id: int, required: bool) -> T
 
 
 def _label_of_mask(mask: Column, label) -> Column:
-    labels = F.array(*[F.lit(label(type_of_mask(m))) for m in _MASKS])
-    return F.get(labels, mask)
+    labels = ";".join(label(type_of_mask(m)) for m in _MASKS)
+    return F.get(F.split(F.lit(labels), ";"), mask)
 
 
 def text_columns(df: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def column_kinds(df: DataFrame) -> DataFrame:
     compiled once however many columns there are.
     """
     cells = df.select(F.posexplode(F.array(*[column(n) for n in df.columns])))
-    names = F.array(*[F.lit(n) for n in df.columns])
+    # A constant: parsed once, when the plan is optimised.
+    names = F.from_json(F.lit(json.dumps(df.columns)), "array<string>")
     return (
         cells.groupBy("pos")
         .agg(
