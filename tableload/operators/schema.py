@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import as_text, cell_kind, column, parse_cell, type_of_mask
-from ..functions.names import clean_names
+from ..functions.names import clean_name, clean_names
 from ..functions.samples import first_rows
 from ..functions.typenames import declared_type, logical_type, sql_type, type_label
 
@@ -139,8 +139,16 @@ def edit_schema(
     return T.StructType(fields)
 
 
-def _source_of(field: T.StructField) -> str:
-    return field.metadata.get("source", field.name)
+def _sources(df: DataFrame, schema: T.StructType) -> dict[str, str | None]:
+    """For each field the input column it is read from: of the same name, else of the same
+    name once cleaned."""
+    exact = {n.strip(): n for n in df.columns}
+    cleaned = {clean_name(n): n for n in df.columns}
+    found = {}
+    for f in schema:
+        wanted = f.metadata.get("source", f.name).strip()
+        found[f.name] = exact.get(wanted, cleaned.get(wanted))
+    return found
 
 
 def typed_columns(
@@ -149,10 +157,10 @@ def typed_columns(
     """Projection of an all-text frame onto ``schema``; a declared column absent from the input
     is null. With ``enforce_required`` a null in a required column fails the job before it
     commits anything."""
-    present = {n.strip(): n for n in df.columns}
+    sources = _sources(df, schema)
     out = []
     for f in schema:
-        source = present.get(_source_of(f).strip())
+        source = sources[f.name]
         if source is None:
             value = F.lit(None).cast(f.dataType)
         else:
@@ -173,14 +181,49 @@ def apply_schema(
 
 def rejected_cells(df: DataFrame, schema: T.StructType) -> dict[str, Column]:
     """Per column that can lose values, whether this row's cell fails to parse."""
-    present = {n.strip(): n for n in df.columns}
-    out = {}
-    for f in schema:
-        source = present.get(_source_of(f).strip())
-        if source is not None and not isinstance(f.dataType, T.StringType):
-            cell = column(source)
-            out[f.name] = cell.isNotNull() & parse_cell(cell, f.dataType).isNull()
-    return out
+    sources = _sources(df, schema)
+    return {
+        f.name: column(sources[f.name]).isNotNull()
+        & parse_cell(column(sources[f.name]), f.dataType).isNull()
+        for f in schema
+        if sources[f.name] is not None and not isinstance(f.dataType, T.StringType)
+    }
+
+
+def apply_schema_observed(
+    df: DataFrame,
+    schema: T.StructType,
+    observation: Observation | str,
+    *,
+    enforce_required: bool = False,
+) -> DataFrame:
+    """``apply_schema`` that counts rows and rejected cells per column as they stream past.
+
+    Metrics are ``rows`` and ``rejected:<column>``. Cells are parsed once: the count compares
+    each typed value with whether its cell held anything.
+    """
+    sources = _sources(df, schema)
+    losable = [
+        f.name
+        for f in schema
+        if sources[f.name] is not None and not isinstance(f.dataType, T.StringType)
+    ]
+    given = [column(sources[n]).isNotNull().alias(f"__given:{n}") for n in losable]
+    typed = df.select(*typed_columns(df, schema, enforce_required=enforce_required), *given)
+    lost = [
+        F.count_if(column(f"__given:{n}") & column(n).isNull()).alias(f"rejected:{n}")
+        for n in losable
+    ]
+    watched = typed.observe(observation, F.count(F.lit(1)).alias("rows"), *lost)
+    return watched.select([column(f.name) for f in schema])
+
+
+def rejected_counts(metrics: dict) -> dict[str, int]:
+    """Columns that lost cells, from observed metrics."""
+    prefix = "rejected:"
+    return {
+        k.removeprefix(prefix): v for k, v in metrics.items() if k.startswith(prefix) and v
+    }
 
 
 def required_violations(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -19,10 +19,11 @@ from ..operators.compat import compare_schemas, schema_verdict
 from ..operators.layout import Transform, add_partition_columns
 from ..operators.schema import (
     apply_schema,
+    apply_schema_observed,
     create_table_sql,
     declared_schema,
     infer_schema,
-    rejected_cells,
+    rejected_counts,
     schema_rows,
 )
 from ..sinks.catalog import (
@@ -126,26 +127,6 @@ def fit_to_target(spark: SparkSession, schema: T.StructType, table: str) -> T.St
     return T.StructType(fitted)
 
 
-def observed(
-    text: DataFrame, schema: T.StructType, observation: Observation | str
-) -> DataFrame:
-    """The text frame, counting rows and rejected cells per column as it streams past."""
-    metrics = [F.count(F.lit(1)).alias("rows")]
-    metrics += [
-        F.count_if(bad).alias(f"rejected:{name}")
-        for name, bad in rejected_cells(text, schema).items()
-    ]
-    return text.observe(observation, *metrics)
-
-
-def rejected_counts(metrics: dict) -> dict[str, int]:
-    """Columns that lost cells, from a load's observed metrics."""
-    prefix = "rejected:"
-    return {
-        k.removeprefix(prefix): v for k, v in metrics.items() if k.startswith(prefix) and v
-    }
-
-
 def plan_load(
     spark: SparkSession,
     path: str | list[str],
@@ -250,9 +231,7 @@ def load_csv(
             if job:
                 job.progress(1)
             watch = Observation(f"load-{uuid.uuid4().hex[:8]}")
-            typed = apply_schema(
-                observed(text, load_schema, watch), load_schema, enforce_required=True
-            )
+            typed = apply_schema_observed(text, load_schema, watch, enforce_required=True)
             write_table(
                 typed,
                 name,

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from ..functions.cells import column, null_tokens
 from ..operators.layout import Transform, add_partition_columns, spread_by_partition
-from ..operators.schema import apply_schema
-from ..plans.load import observed, prepare, rejected_counts
+from ..operators.schema import apply_schema_observed, rejected_counts
+from ..plans.load import prepare
 from ..session import path_exists
 from ..sinks.catalog import create_table, quoted, resolve_table, table_exists
 from ..sinks.table import read_table
@@ -119,7 +119,7 @@ def ingest_dir(
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
     text = reader.csv(directory)
     text = text.select([null_tokens(column(n)).alias(n) for n in names])
-    typed = apply_schema(observed(text, load_schema, _METRICS), load_schema)
+    typed = apply_schema_observed(text, load_schema, _METRICS)
     laid_out = spread_by_partition(add_partition_columns(typed, transforms), transforms)
     if not table_exists(spark, name):
         full = T.StructType([*laid_out.schema, T.StructField(BATCH_COLUMN, T.LongType())])

@@ -114,6 +114,15 @@ def test_names_are_cleaned_and_columns_chosen(spark, db, write_file):
     assert spark.table(f"{db}.t").columns == ["user_id", "col_select", "col_1st"]
 
 
+def test_declared_names_match_cleaned_headers(spark, db, write_file):
+    path = write_file("user id,1st\n7,x\n")
+    schema = '[{"name": "user_id", "type": "Long"}, {"name": "1st", "type": "String"}]'
+    assert load_csv(spark, path, f"{db}.t", schema=schema).success
+    assert [r.asDict() for r in spark.table(f"{db}.t").collect()] == [
+        {"user_id": 7, "col_1st": "x"}
+    ]
+
+
 def test_missing_file_is_reported(spark, db, tmp_path):
     result = load_csv(spark, str(tmp_path / "none.csv"), f"{db}.t")
     assert not result.success and result.error
