@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import column, null_tokens
 from ..operators.layout import Transform, add_partition_columns, spread_by_partition
-from ..operators.schema import apply_schema_observed, rejected_counts
+from ..operators.schema import apply_schema, apply_schema_observed, rejected_counts
 from ..plans.load import prepare
 from ..session import path_exists
 from ..sinks.catalog import create_table, quoted, resolve_table, table_exists
@@ -21,7 +22,6 @@ from ..sources.csv import INPUT_GLOB, Dialect, column_names, text_schema
 
 # Every row carries the micro-batch that wrote it; replaying a batch replaces its own rows.
 BATCH_COLUMN = "load_batch"
-_METRICS = "ingest"
 
 
 @dataclass
@@ -71,19 +71,16 @@ def _agreed_schema(
     return names, load_schema
 
 
-def _replace_batch(table: str) -> Callable[[DataFrame, int], None]:
-    """A batch writer that is safe to repeat: it replaces only its own batch's partitions."""
+def replace_batch(batch: DataFrame, batch_id: int, table: str) -> None:
+    """Write one micro-batch; safe to repeat, as it replaces only its own batch's partitions.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        stamped = batch.withColumn(BATCH_COLUMN, F.lit(batch_id).cast("bigint"))
-        target = session.table(quoted(table)).columns
-        stamped.select([column(c) for c in target]).write.insertInto(
-            quoted(table), overwrite=True
-        )
-
-    return write
+    The stream's session is its own, so the overwrite mode set here reaches nobody else.
+    """
+    session = batch.sparkSession
+    session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    stamped = batch.withColumn(BATCH_COLUMN, F.lit(batch_id).cast("bigint"))
+    target = session.table(quoted(table)).columns
+    stamped.select([column(c) for c in target]).write.insertInto(quoted(table), overwrite=True)
 
 
 def ingest_dir(
@@ -97,18 +94,18 @@ def ingest_dir(
     sample_rows: int | None = None,
     transforms: Sequence[Transform] = (),
     max_files_per_batch: int | None = None,
-    progress: Callable[[int], None] | None = None,
+    on_batch: Callable[[IngestResult], None] | None = None,
 ) -> IngestResult:
     """Load every file the checkpoint has not seen yet, then stop.
 
     Restarting after a failure neither loses nor repeats rows. The first run fixes the schema;
-    later cells that do not fit it become null and are counted.
+    later cells that do not fit it become null and are counted. ``on_batch`` sees the running
+    totals after every micro-batch.
     """
     name = resolve_table(spark, table)
     names, load_schema = _agreed_schema(
         spark, directory, checkpoint, dialect, schema, sample_rows
     )
-    batch_part = Transform(BATCH_COLUMN)
     reader = (
         spark.readStream.schema(text_schema(names))
         .options(**dialect.options())
@@ -119,33 +116,34 @@ def ingest_dir(
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
     text = reader.csv(directory)
     text = text.select([null_tokens(column(n)).alias(n) for n in names])
-    typed = apply_schema_observed(text, load_schema, _METRICS)
-    laid_out = spread_by_partition(add_partition_columns(typed, transforms), transforms)
+    shape = add_partition_columns(apply_schema(text, load_schema), transforms).schema
     if not table_exists(spark, name):
-        full = T.StructType([*laid_out.schema, T.StructField(BATCH_COLUMN, T.LongType())])
-        create_table(spark, name, full, transforms=[batch_part, *transforms])
+        full = T.StructType([*shape, T.StructField(BATCH_COLUMN, T.LongType())])
+        create_table(spark, name, full, transforms=[Transform(BATCH_COLUMN), *transforms])
     elif BATCH_COLUMN not in spark.table(quoted(name)).columns:
         raise ValueError(f"{name} has no {BATCH_COLUMN} column; ingest needs a table of its own")
 
-    query = (
-        laid_out.writeStream.foreachBatch(_replace_batch(name))
+    result = IngestResult()
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        watch = Observation(f"ingest-{uuid.uuid4().hex[:8]}")
+        typed = apply_schema_observed(batch, load_schema, watch)
+        laid_out = spread_by_partition(add_partition_columns(typed, transforms), transforms)
+        replace_batch(laid_out, batch_id, name)
+        result.rows += watch.get["rows"]
+        result.batches += 1
+        for key, lost in rejected_counts(watch.get).items():
+            result.rejected[key] = result.rejected.get(key, 0) + lost
+        if on_batch:
+            on_batch(result)
+
+    (
+        text.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
+        .awaitTermination()
     )
-    query.awaitTermination()
-    result = IngestResult()
-    for step in query.recentProgress:
-        metrics = step["observedMetrics"].get(_METRICS)
-        if not metrics:
-            continue
-        values = metrics.asDict()
-        result.rows += values["rows"]
-        result.batches += 1
-        for key, lost in rejected_counts(values).items():
-            result.rejected[key] = result.rejected.get(key, 0) + lost
-    if progress:
-        progress(100)
     return result
 
 

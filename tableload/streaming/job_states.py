@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..operators.history import JOB_FIELDS, latest_fields
 from ..operators.layout import Transform
 from ..sinks.catalog import create_table, quoted, resolve_table, table_exists
-from .ingest import BATCH_COLUMN, _replace_batch
+from .ingest import BATCH_COLUMN, replace_batch
 
 
 def follow_job_states(
@@ -33,7 +33,7 @@ def follow_job_states(
         create_table(spark, name, full, transforms=[Transform(BATCH_COLUMN)])
     (
         states.writeStream.outputMode("update")
-        .foreachBatch(_replace_batch(name))
+        .foreachBatch(lambda batch, batch_id: replace_batch(batch, batch_id, name))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
