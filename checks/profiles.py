@@ -293,7 +293,7 @@ def advise_all_scores(spark, sf_dir):
           SELECT *, kind IN ('date', 'timestamp') OR date_like AS dated,
                  unnest(string_split(transforms, ',')) AS part,
                  unnest(range(len(string_split(transforms, ',')))) AS position FROM a)
-        SELECT "column", suitability_score, position, split_part(part, ' ', 1) AS transform,
+        SELECT "column", suitability_score, CAST(position AS INTEGER) AS position, split_part(part, ' ', 1) AS transform,
                TRY_CAST(split_part(part, ' ', 2) AS INTEGER) AS width,
                CASE WHEN part LIKE 'bucket %' THEN 'Hash into ' || split_part(part, ' ', 2)
                                                    || ' buckets'

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from tableload.functions.samples import random_sample
 from tableload.operators.compat import compare_schemas, schema_verdict
 from tableload.operators.schema import (
     apply_schema,
@@ -144,6 +145,16 @@ def infer_schema_query(spark, sf_dir):
     return inferred_columns(text)
 
 
+@query(
+    "infer_schema_random_sample",
+    f"""SELECT field_id, name, type, {_SQL_NAMES} AS sql_type, FALSE AS required
+        FROM ({_inferred_sql("lineitem", FLAT_TABLES["lineitem"])})""",
+)
+def infer_schema_random_sample(spark, sf_dir):
+    text = read_text(spark, write_csv(table(spark, sf_dir, "lineitem"), "lineitem"))
+    return schema_rows(spark, infer_schema(random_sample(text, 1000)))
+
+
 _ALL_SQL = " UNION ALL ".join(_inferred_sql(t, cols) for t, cols in FLAT_TABLES.items())
 
 
@@ -220,7 +231,7 @@ def schema_checks_valid(spark, sf_dir):
 @query(
     "sample_values",
     """SELECT name, position, value FROM (
-         SELECT row_number() OVER (ORDER BY o_orderkey) AS position,
+         SELECT CAST(row_number() OVER (ORDER BY o_orderkey) AS INTEGER) AS position,
                 CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
                 o_orderstatus, o_orderpriority,
                 CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +89,23 @@ def _insert(
     writer = spread_by_partition(aligned, transforms).write
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    writer.insertInto(quoted(name), overwrite=overwrite)
+    with _whole_table_overwrite(spark):
+        writer.insertInto(quoted(name), overwrite=overwrite)
+
+
+@contextmanager
+def _whole_table_overwrite(spark: SparkSession) -> Iterator[None]:
+    """An overwrite replaces every partition, even in a session set to replace only some.
+
+    ``insertInto`` heeds the session setting only, not a writer option.
+    """
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "static")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
 
 
 def write_table(

@@ -69,6 +69,21 @@ def test_overwrite_with_empty_input_empties_the_table(spark, db, write_file):
     assert spark.table(target).count() == 0
 
 
+@pytest.mark.parametrize("setting", ["static", "dynamic"])
+def test_keep_schema_overwrite_replaces_all_partitions(spark, db, setting):
+    name = "spark.sql.sources.partitionOverwriteMode"
+    target = f"{db}.t"
+    df = spark.createDataFrame([(i, f"k{i % 3}") for i in range(9)], "id int, k string")
+    write_table(df, target, transforms=[Transform("k")])
+    spark.conf.set(name, setting)
+    try:
+        write_table(df.where("id = 1"), target, mode="overwrite", replace_schema=False)
+        assert spark.conf.get(name).lower() == setting
+    finally:
+        spark.conf.unset(name)
+    assert [tuple(r) for r in spark.table(target).collect()] == [(1, "k1")]
+
+
 def test_failed_overwrite_keeps_the_old_rows(spark, db, write_file):
     target = f"{db}.t"
     load_csv(spark, write_file("id\n1\n"), target)
@@ -80,6 +95,16 @@ def test_failed_overwrite_keeps_the_old_rows(spark, db, write_file):
     assert [r.id for r in spark.table(target).collect()] == [1]
 
 
+def test_load_after_a_failed_first_load(spark, db, write_file):
+    target = f"{db}.t"
+    schema = '[{"name": "id", "type": "Long", "required": true}]'
+    bad = write_file("id\n" + "1\n" * 1000 + "x\n", "bad.csv")
+    assert not load_csv(spark, bad, target, schema=schema).success
+    assert not table_exists(spark, target)
+    assert load_csv(spark, write_file("id\n2\n"), target, schema=schema).success
+    assert [r.id for r in spark.table(target).collect()] == [2]
+
+
 def test_incompatible_schema_is_refused(spark, db, write_file):
     target = f"{db}.t"
     write_table(spark.createDataFrame([(1.5, 2.5)], "a double, b double"), target)
