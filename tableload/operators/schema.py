@@ -199,7 +199,7 @@ def apply_schema_observed(
 ) -> DataFrame:
     """``apply_schema`` that counts rows and rejected cells per column as they stream past.
 
-    Metrics are ``rows`` and ``rejected:<column>``. Cells are parsed once: the count compares
+    Metrics are ``rows``, ``batches`` (input partitions read) and ``rejected:<column>``. Cells are parsed once: the count compares
     each typed value with whether its cell held anything.
     """
     sources = _sources(df, schema)
@@ -209,12 +209,17 @@ def apply_schema_observed(
         if sources[f.name] is not None and not isinstance(f.dataType, T.StringType)
     ]
     given = [column(sources[n]).isNotNull().alias(f"__given:{n}") for n in losable]
-    typed = df.select(*typed_columns(df, schema, enforce_required=enforce_required), *given)
+    typed = df.select(
+        *typed_columns(df, schema, enforce_required=enforce_required),
+        *given,
+        F.spark_partition_id().alias("__batch"),
+    )
     lost = [
         F.count_if(column(f"__given:{n}") & column(n).isNull()).alias(f"rejected:{n}")
         for n in losable
     ]
-    watched = typed.observe(observation, F.count(F.lit(1)).alias("rows"), *lost)
+    batches = F.coalesce(F.max("__batch") + 1, F.lit(0)).alias("batches")
+    watched = typed.observe(observation, F.count(F.lit(1)).alias("rows"), batches, *lost)
     return watched.select([column(f.name) for f in schema])
 
 

@@ -46,6 +46,7 @@ class LoadResult:
     table_name: str
     success: bool = False
     rows_processed: int = 0
+    batches: int = 0
     duration: float = 0.0
     error: str | None = None
     rejected: dict[str, int] = field(default_factory=dict)
@@ -54,8 +55,17 @@ class LoadResult:
     dry_run: dict | None = None
 
     @property
-    def rows_per_second(self) -> float:
-        return self.rows_processed / self.duration if self.duration else 0.0
+    def metrics(self) -> dict[str, float]:
+        """Rows, input partitions read, seconds, and the averages of these."""
+        batches, seconds = self.batches or 1, self.duration
+        return {
+            "total_rows": self.rows_processed,
+            "total_batches": self.batches,
+            "total_processing_time": seconds,
+            "avg_batch_size": self.rows_processed / batches,
+            "avg_batch_time": seconds / batches,
+            "processing_rate": self.rows_processed / seconds if seconds else 0.0,
+        }
 
 
 class Prepared(NamedTuple):
@@ -242,6 +252,7 @@ def load_csv(
                 using=using,
             )
             result.rows_processed = watch.get["rows"]
+            result.batches = watch.get["batches"]
             result.rejected = rejected_counts(watch.get)
             result.log.append(f"wrote {result.rows_processed} rows")
             if progress:

@@ -131,6 +131,16 @@ def test_rejects_are_counted_and_rows_kept(spark, db, write_file):
     assert spark.table(f"{db}.t").count() == 3
 
 
+def test_metrics(spark, db, tmp_path):
+    path = str(tmp_path / "many")
+    spark.range(0, 4000, numPartitions=4).write.option("header", True).csv(path)
+    result = load_csv(spark, path, f"{db}.t")
+    metrics = result.metrics
+    assert metrics["total_rows"] == 4000 and metrics["total_batches"] == result.batches >= 1
+    assert metrics["avg_batch_size"] == 4000 / result.batches
+    assert metrics["processing_rate"] == 4000 / result.duration
+
+
 def test_names_are_cleaned_and_columns_chosen(spark, db, write_file):
     path = write_file("user id,select,1st,junk\n1,x,2,3\n")
     result = load_csv(spark, path, f"{db}.t", exclude="junk, nope", progress=lambda p: None)
