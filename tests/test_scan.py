@@ -42,6 +42,16 @@ def test_dialect(spark, write_file):
     assert rows(read_text(spark, tabbed, Dialect(sep="\t"))) == [(None, "2")]
 
 
+@pytest.mark.parametrize("multiline", [False, True])
+def test_carriage_returns_end_lines(spark, tmp_path, multiline):
+    path = tmp_path / "crlf.csv"
+    path.write_bytes(b'a,b\r\n1,"x"\r\n2,y')
+    assert rows(read_text(spark, str(path), Dialect(multiline=multiline))) == [
+        ("1", "x"),
+        ("2", "y"),
+    ]
+
+
 def test_no_header_names(spark, write_file):
     df = read_text(spark, write_file("1,x\n2,y\n"), Dialect(header=False))
     assert df.columns == ["col_0", "col_1"]
