@@ -71,9 +71,22 @@ def by_rows(function: Callable, columns: list[str], schema: pa.Schema) -> Callab
     return run
 
 
-def _changes(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).head()
-    return tuple(row)
+def id_filter(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` may be among ``ids`` (one column of that name), so that a join
+    with them shuffles little else. All that are among them stay, and of the others the share of
+    bits set: ids are hashed to 2**24 bits, held in 2**18 words, so what is broadcast is bounded
+    whatever the number of ids."""
+    number = F.pmod(F.xxhash64(column), F.lit(1 << 24))
+    bit = F.expr("shiftleft(1L, cast(_number % 64 as int))")
+    word = F.expr("_number div 64")
+    bits = (
+        ids.withColumn("_number", number)
+        .groupBy(word.alias("_word"))
+        .agg(F.bit_or(bit).alias("_bits"))
+    )
+    marked = rows.withColumn("_number", number).withColumn("_word", word)
+    met = marked.join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)
+    return met.drop("_word", "_bits", "_number")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -82,28 +95,28 @@ def components(links: DataFrame) -> DataFrame:
     Returns one row (node, root) for each node that has a link to another node; ``root`` is the
     smallest node of its component. Alternates large-star and small-star steps (Kiveris et al.,
     2014) until the links no longer change: O(log n) rounds, each two joins on node ids with
-    partial aggregation first. Every round is staged in the shared folder.
+    partial aggregation first. Every round is staged in the shared folder, in as many files as
+    its rows need.
     """
-    edges = staged(
-        links.where("a <> b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct(),
-        "links",
+    edges = links.where("a <> b").select(
+        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     )
-    before = _changes(edges)
+    edges = staged(edges.distinct(), "links")
+    before = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).head()
     while before[0]:
+        files = 1 + before[0] // 200_000
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (
-            both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(low, "a").where("b > a and b <> m")
+        large = staged(
+            large.select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(files),
+            "large-star",
         )
-        large = staged(large.where("a <> b").distinct(), "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        small = small.union(low.select("a", F.col("m").alias("b")))
-        edges = staged(small.distinct(), "small-star")
-        after = _changes(edges)
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.where("a <> b").union(low.select("a", F.col("m").alias("b")))
+        edges = staged(small.distinct().coalesce(files), "small-star")
+        after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 40))).head()
         if after == before:
             break
         before = after

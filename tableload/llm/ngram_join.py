@@ -4,6 +4,7 @@ single shingles indexed where they are rare, pairs of shingles where they are fr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged, text_batches
+from .common import components, id_filter, staged, text_batches
 
 WORDS = 5
 PERCENT = 80
-DF_BITS = 18  # buckets that count in how many texts a shingle occurs
-FREQUENT = 64  # texts above the expected load of a bucket that make its shingles frequent
+DF_BITS = 18  # buckets that count how often shingles occur
+FREQUENT = 64  # occurrences above a bucket's expected load that make its shingles frequent
 GROUP = 16  # size band / GROUP classes of frequent shingles
+MET_KEPT = 64  # shingles met elsewhere that a wide set carries along for the bound
 VERIFY_ROWS = 1024  # partners verified beside one copy of a hub's shingles
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -35,33 +37,57 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _WordHashes(dict):
+    """Hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Shingles:
-    """Sorted 64-bit hashes of a text's distinct shingles of ``words`` words; a shorter text is
-    one shingle as a whole, a text without words has none. Words stand between ASCII white space;
-    A-Z are lower-cased."""
+    """64-bit hashes of the runs of ``words`` words of texts; a shorter text is one shingle as a
+    whole, a text without words has none. Words stand between ASCII white space; A-Z are
+    lower-cased."""
 
     def __init__(self, words: int):
         self._size = words
-        self._known: dict[bytes, int] = {}
-
-    def of(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        if not words:
-            return np.empty(0, dtype=np.uint64)
-        known = self._known
-        missing = set(words).difference(known)
-        if len(known) + len(missing) > _WORDS_KEPT:
-            known.clear()
-            missing = set(words)
-        for w in missing:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        size = min(self._size, len(h))
+        self._known = _WordHashes()
+
+    @staticmethod
+    def _fold(h: np.ndarray, size: int) -> np.ndarray:
         count = len(h) - size + 1
         mixed = np.full(count, size, dtype=np.uint64)
         for j in range(size):
             mixed = _mix(mixed * _A + h[j : j + count])
-        return np.unique(mixed)
+        return mixed
+
+    def runs(self, texts: list[str]) -> list[np.ndarray]:
+        """Per text the hashes of its shingles in order, repeats included."""
+        if len(self._known) > _WORDS_KEPT:
+            self._known.clear()
+        split = [t.encode().lower().split() for t in texts]
+        lengths = [len(w) for w in split]
+        words = chain.from_iterable(split)
+        get = map(self._known.__getitem__, words)
+        h = np.fromiter(get, dtype=np.uint64, count=sum(lengths))
+        size, at, out = self._size, 0, []
+        mixed = self._fold(h, size) if len(h) >= size else h[:0]
+        for n in lengths:
+            if n >= size:
+                out.append(mixed[at : at + n - size + 1])
+            else:
+                out.append(self._fold(h[at : at + n], n) if n else h[:0])
+            at += n
+        return out
+
+    def sets(self, texts: list[str]) -> list[np.ndarray]:
+        """Per text its distinct shingles, sorted."""
+        out = []
+        for found in self.runs(texts):
+            found = np.sort(found)
+            out.append(found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found)
+        return out
 
 
 def digest(shingles: np.ndarray) -> int:
@@ -134,17 +160,30 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _joined(arrays: list[np.ndarray], most: int = 1 << 17) -> Iterator[np.ndarray]:
+    """The arrays, put together in runs of about ``most`` elements."""
+    held, n = [], 0
+    for x in arrays:
+        held.append(x)
+        n += len(x)
+        if n >= most:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
 def shingle_counts(docs: DataFrame, words: int, bits: int = DF_BITS) -> np.ndarray:
-    """In how many texts the shingles of each hash bucket occur, over all texts. Tasks count in
-    an array; the driver receives at most 2**bits sums."""
+    """How often shingles of each hash bucket occur, over all texts. Tasks count in an array; the
+    driver receives at most 2**bits sums."""
     size, shift = 1 << bits, np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, total = Shingles(words), np.zeros(size, dtype=np.int64)
         for batch in text_batches(batches, "text"):
-            for text in batch.column("text").to_pylist():
-                found = (shingles.of(text or "") >> shift).astype(np.int64)
-                np.add.at(total, found, 1)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for found in _joined(shingles.runs(texts)):
+                total += np.bincount((found >> shift).astype(np.int64), minlength=size)
         used = np.flatnonzero(total)
         for at in range(0, len(used), 1 << 16):
             part = used[at : at + (1 << 16)]
@@ -158,24 +197,27 @@ def shingle_counts(docs: DataFrame, words: int, bits: int = DF_BITS) -> np.ndarr
     return counts
 
 
-_INDEXED = "doc_id long, key long, digest long, n int, sig long, rare boolean, wide boolean"
+_INDEXED = (
+    "doc_id long, key long, digest long, n int, sig long, rare boolean, wide boolean, rares int"
+)
 
 
 def _indexed(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
     """Two kinds of rows: one per document (sig null) with its id, key, digest of its set and
-    size n; and one per signature of each set. ``wide`` sets reach into frequent shingles."""
+    size n; and one per signature of each set. ``wide`` sets reach into frequent shingles; they
+    are indexed by all their ``rares`` rare ones."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, signatures = Shingles(words), Signatures(shared.value, percent)
         done: set[int] = set()  # sets indexed lately by this task: copies add no rows
         kinds = [pa.int64()] * 3 + [pa.int32(), pa.int64(), pa.bool_(), pa.bool_()]
+        kinds.append(pa.int32())
         schema = pa.schema(list(zip([c.split()[0] for c in _INDEXED.split(", ")], kinds)))
         for batch in text_batches(batches, "text"):
-            texts = batch.column("text").to_pylist()
+            texts = [t or "" for t in batch.column("text").to_pylist()]
             digests, sizes, out = [], [], []
-            for text in texts:
-                own = shingles.of(text or "")
+            for own in shingles.sets(texts):
                 number = digest(own) if len(own) else None
                 digests.append(number)
                 sizes.append(len(own))
@@ -198,6 +240,7 @@ def _indexed(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                     none,
                     no,
                     no,
+                    pa.nulls(rows, pa.int32()),
                 ],
                 schema=schema,
             )
@@ -219,6 +262,7 @@ def _indexed(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                     pa.array(_signed(sigs)),
                     pa.array(rare),
                     pa.array(wide),
+                    pa.array(np.repeat([len(r) for _, _, r, _ in out], lengths), pa.int32()),
                 ],
                 schema=schema,
             )
@@ -227,68 +271,118 @@ def _indexed(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """Whether sizes allow a link. Between two wide sets also the bound by ``alone``, the rare
-    shingles that no other set is indexed by: all rare shingles of wide sets are signatures, so
-    these are surely missing from the other set."""
-    most = f"least({a}.n - {a}.alone, {b}.n - {b}.alone)"
+    """Whether two sets may link, by sizes, and between wide sets by rare shingles.
+
+    All ``rares`` rare shingles of a wide set are signatures, and ``mets`` of them other sets
+    have too, listed in ``met`` unless they are many. Of two wide sets each lacks the other's
+    rare shingles that are not in both lists; what is left must suffice."""
+
+    def suffices(shared: str) -> str:
+        most = (
+            f"least({a}.n - {a}.rares + least({a}.mets, {shared}), "
+            f"{b}.n - {b}.rares + least({b}.mets, {shared}))"
+        )
+        return f"{100 + percent} * {most} >= {percent} * ({a}.n + {b}.n)"
+
+    few = f"least({a}.mets, {b}.mets)"
+    both = f"coalesce(nullif(size(array_intersect({a}.met, {b}.met)), -1), {few})"
     return F.expr(
         f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and "
-        f"(not ({a}.wide and {b}.wide) or {100 + percent} * {most} >= {percent} * ({a}.n + {b}.n))"
+        f"(not ({a}.wide and {b}.wide) or ({suffices(few)} and {suffices(both)}))"
+    )
+
+
+def _enough_shared(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share as many signatures as linked sets must.
+
+    Linked sets share at least o = ceil(percent * (n_a + n_b) / (100 + percent)) shingles, so a
+    set lacks in the other at most n - o. If its prefix of e + 1 rare shingles ends first, all it
+    shares of them are signatures of both: e + 1 - (n - o) at least, and of the two bounds the
+    lesser holds. Wide sets have other prefixes and pass."""
+    o = f"ceil({percent} * (na + nb) / {100 + percent}D - 1e-9)"
+
+    def need(n: str) -> str:
+        return f"(floor({100 - percent} * {n} / 100D + 1e-9) + 1 - ({n} - {o}))"
+
+    lists = members.where("not wide").groupBy("digest").agg(F.collect_list("sig").alias("sigs"))
+    own = lists.select(F.col("digest").alias("a"), F.col("sigs").alias("own"))
+    other = lists.select(F.col("digest").alias("b"), F.col("sigs").alias("other"))
+    both = "size(array_intersect(own, other))"
+    enough = (
+        pairs.where("not wide")
+        .join(own, "a")
+        .join(other, "b")
+        .where(f"{both} >= least({need('na')}, {need('nb')})")
     )
+    return enough.select("a", "b").union(pairs.where("wide").select("a", "b"))
+
+
+def _pair_columns(a: str, b: str) -> list[Column]:
+    return [
+        F.col(f"{a}.digest").alias("a"),
+        F.col(f"{b}.digest").alias("b"),
+        F.col(f"{a}.n").alias("na"),
+        F.col(f"{b}.n").alias("nb"),
+        F.expr(f"{a}.wide or {b}.wide").alias("wide"),
+    ]
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, percent: int):
     """The pairs (a, b) of digests whose sets link, by exact count of shared shingles.
 
-    Sets are computed again, only for documents that are in a pair. A hub's set ``a`` travels
-    once for every ``VERIFY_ROWS`` partners; partners stream past it."""
-    pairs = staged(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    chosen = staged(ends.join(reps, "digest"), "chosen").select(
-        F.col("digest").alias("wanted"), F.col("rep").alias("d")
+    Sets are computed again, only for documents that are in a pair, and go straight to where
+    they are compared: a hub's set ``a`` once for every ``VERIFY_ROWS`` partners, which stream
+    past it."""
+    salts = F.ceil(F.count("*") / VERIFY_ROWS).cast("int")
+    counted = pairs.groupBy("a").agg(salts.alias("salts"))
+    hubs = counted.select(
+        F.col("a").alias("digest"),
+        "a",
+        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
+        F.lit(True).alias("hub"),
     )
+    partners = pairs.join(counted, "a").select(
+        F.col("b").alias("digest"),
+        "a",
+        F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"),
+        F.lit(False).alias("hub"),
+    )
+    wanted = hubs.unionByName(partners).join(reps, "digest").select(
+        "digest", F.col("rep").alias("d"), "a", "salt", "hub"
+    )
+    wanted = staged(wanted, "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
-        schema = pa.schema([("digest", pa.int64()), ("items", pa.binary())])
         for batch in text_batches(batches, "text"):
-            found = [shingles.of(t or "") for t in batch.column("text").to_pylist()]
-            wanted = batch.column("wanted").to_pylist()
-            kept = [(w, s.tobytes()) for w, s in zip(wanted, found) if len(s) and digest(s) == w]
+            found = shingles.sets([t or "" for t in batch.column("text").to_pylist()])
+            wanted = batch.column("digest").to_pylist()
+            # An id may stand for other texts too; only the set that was indexed counts.
+            kept = [len(x) > 0 and digest(x) == w for x, w in zip(found, wanted)]
+            items = pa.array([x.tobytes() for x in found], pa.binary())
+            columns = [batch.column(c) for c in ("a", "salt", "hub", "digest")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in kept], schema.field(i).type) for i in (0, 1)],
-                schema=schema,
-            )
-
-    texts = docs.select("doc_id", "text").join(chosen, F.expr("doc_id <=> d"))
-    owned = texts.select("wanted", "text").mapInArrow(sets, "digest long, items binary")
-    owned = staged(owned, "sets").dropDuplicates(["digest"])
-    counted = pairs.groupBy("a").agg(
-        F.ceil(F.count("*") / VERIFY_ROWS).cast("int").alias("salts")
-    )
-    hubs = counted.join(owned, F.expr("a = digest")).select(
-        "a",
-        F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-        F.lit(None).cast("long").alias("b"),
-        "items",
-    )
-    partners = (
-        pairs.join(counted, "a")
-        .withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-        .join(owned, F.expr("b = digest"))
-        .select("a", "salt", "b", "items")
+                [*columns, items], ["a", "salt", "hub", "b", "items"]
+            ).filter(pa.array(kept, pa.bool_()))
+
+    ids = wanted.select(F.col("d").alias("doc_id")).distinct()
+    texts = id_filter(docs.select("doc_id", "text"), ids, "doc_id")
+    texts = texts.join(wanted, F.expr("doc_id <=> d"))
+    dealt = texts.select("a", "salt", "hub", "digest", "text").mapInArrow(
+        sets, "a long, salt int, hub boolean, b long, items binary"
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, None
+        own = None
         for batch in batches:
             out = []
-            for a, b, items in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "items"))):
+            for a, hub, b, items in zip(
+                *(batch.column(c).to_pylist() for c in ("a", "hub", "b", "items"))
+            ):
                 found = np.frombuffer(items, dtype=np.uint64)
-                if b is None:
-                    hub, own = a, found
+                if hub:
+                    own = found
                     continue
-                assert hub == a
                 both = len(np.intersect1d(own, found, assume_unique=True))
                 if 100 * both >= percent * (len(own) + len(found) - both):
                     out.append((a, b))
@@ -296,9 +390,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
                 [pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"]
             )
 
-    dealt = hubs.unionByName(partners).repartition("a", "salt")
-    dealt = dealt.sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return staged(dealt.mapInArrow(verify, "a long, b long"), "links")
+    dealt = dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("hub"))
+    return staged(dealt.mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(
@@ -335,38 +428,42 @@ def near_duplicates(
         rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")),
         "reps",
     )
-    sigs = indexed.where("sig is not null").select("sig", "digest", "n", "rare", "wide")
-    spread = sigs.groupBy("sig").agg(
-        F.min("digest").alias("low"),
-        F.max("digest").alias("high"),
-        F.max(F.expr("rare and wide")).alias("counts"),
-    )
-    spread = staged(spread.where("low <> high or counts"), "spread")
-    alone = (
-        spread.where("low = high").groupBy(F.col("low").alias("digest")).agg(
-            F.count("*").cast("int").alias("alone")
-        )
+    sigs = indexed.where("sig is not null").select("sig", "digest", "n", "rare", "wide", "rares")
+    spread = sigs.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+    spread = staged(spread.where("low <> high").select("sig"), "spread")
+    members = staged(sigs.join(spread, "sig", "left_semi").distinct(), "met")
+    met = (
+        members.where("wide and rare")
+        .groupBy("digest")
+        .agg(F.sort_array(F.collect_list("sig")).alias("met"))
     )
-    members = (
-        sigs.join(spread.where("low <> high").select("sig"), "sig", "left_semi")
-        .select("sig", "digest", "n", "wide")
-        .distinct()
-        .join(alone, "digest", "left")
-        .withColumn("alone", F.coalesce("alone", F.lit(0)))
+    mets = F.when(F.col("met").isNull(), 0).otherwise(F.size("met"))
+    members = members.join(met, "digest", "left").select(
+        "sig",
+        "digest",
+        "n",
+        "wide",
+        "rares",
+        mets.alias("mets"),
+        F.when(mets <= MET_KEPT, F.coalesce("met", F.array().cast("array<bigint>"))).alias("met"),
     )
     members = staged(members, "members")
-    hubs = members.groupBy("sig").agg(F.min(F.struct("alone", "digest", "n", "wide")).alias("h"))
-    hubs = hubs.select("sig", "h.*")
+    # The most central set: the fewest rare shingles that no other set has.
+    lonely = F.when(F.col("wide"), F.col("rares") - F.col("mets")).otherwise(0)
+    central = F.struct(lonely.alias("lonely"), "digest")
+    hubs = members.groupBy("sig").agg(F.min(central).alias("h")).select("sig", "h.digest")
+    hubs = members.join(hubs, ["sig", "digest"])
     star = (
         members.alias("m")
         .join(hubs.alias("h"), "sig")
         .where("m.digest <> h.digest")
         .where(_may_link("m", "h", percent))
-        .select(F.col("h.digest").alias("a"), F.col("m.digest").alias("b"))
+        .select(*_pair_columns("h", "m"))
         .distinct()
     )
     star = staged(star, "star")
-    links = _verified(star, keyed, reps, words, percent)
+    near = staged(_enough_shared(star, members, percent), "pairs")
+    links = _verified(near, keyed, reps, words, percent)
     joined = staged(components(links), "components")
     placed = members.join(joined.withColumnRenamed("node", "digest"), "digest", "left")
     placed = placed.withColumn("root", F.coalesce("root", "digest"))
@@ -382,14 +479,16 @@ def near_duplicates(
         .join(placed.alias("y"), "sig")
         .where("x.digest < y.digest and x.root <> y.root")
         .where(_may_link("x", "y", percent))
-        .select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b"))
+        .select(*_pair_columns("x", "y"))
         .distinct()
     )
-    either = star.union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = rest.join(either, ["a", "b"], "left_anti")
-    more = _verified(rest, keyed, reps, words, percent)
+    either = star.select("a", "b").union(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = staged(rest.join(either, ["a", "b"], "left_anti"), "rest")
+    near = staged(_enough_shared(rest, placed, percent), "pairs")
+    more = _verified(near, keyed, reps, words, percent)
     links = links.union(more)
-    final = staged(components(links), "components")
+    forest = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    final = staged(components(forest.union(more)), "components")
     named = final.join(reps, final.node == reps.digest)
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = staged(
