@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.cells import column
 from ..functions.fixed import DRY_RUN_ROWS_PER_SECOND, MAX_CHUNK_BYTES
 from ..functions.names import clean_name
 from ..operators.columns import clean_columns, select_columns, unknown_columns
@@ -41,7 +42,8 @@ from .history import JobLog
 
 @dataclass
 class LoadResult:
-    """What a load did."""
+    """What a load did. ``ragged`` counts rows with too many fields, which lost the surplus, or
+    too few, which end in nulls."""
 
     table_name: str
     success: bool = False
@@ -50,6 +52,7 @@ class LoadResult:
     duration: float = 0.0
     error: str | None = None
     rejected: dict[str, int] = field(default_factory=dict)
+    ragged: int = 0
     ignored_columns: list[str] = field(default_factory=list)
     log: list[str] = field(default_factory=list)
     dry_run: dict | None = None
@@ -76,6 +79,9 @@ class Prepared(NamedTuple):
     ignored: list[str]
 
 
+_RAGGED = "__ragged"
+
+
 class IncompatibleSchema(ValueError):
     """The input does not fit the existing table."""
 
@@ -91,16 +97,26 @@ def prepare(
     exclude: str | Iterable[str] | None = None,
     path_glob: str | None = None,
     names: list[str] | None = None,
+    ragged_flag: str | None = None,
 ) -> Prepared:
-    """The chosen columns as text under clean names, and the schema they load under."""
-    source = read_text(spark, path, dialect, names=names, path_glob=path_glob)
+    """The chosen columns as text under clean names, and the schema they load under.
+
+    ``ragged_flag`` adds the column of that name that marks rows with too many or few fields."""
+    read = read_text(spark, path, dialect, names=names, path_glob=path_glob, ragged_flag=ragged_flag)
+    source = read.drop(ragged_flag) if ragged_flag else read
     text = select_columns(source, include, exclude)
     ignored = unknown_columns(source.columns, include, exclude)
+    flag = [F.col(ragged_flag)] if ragged_flag else []
+    chosen = read.select(*[column(n) for n in text.columns], *flag) if flag else text
     if isinstance(schema, str):
         schema = declared_schema(schema)
     if schema is None:
-        text = clean_columns(text)
-        return Prepared(text, infer_schema(text, sample_rows), ignored)
+        clean = clean_columns(text)
+        flags = [ragged_flag] if ragged_flag else []
+        return Prepared(
+            chosen.toDF(*clean.columns, *flags), infer_schema(clean, sample_rows), ignored
+        )
+    text = chosen
     clean = T.StructType(
         [
             T.StructField(
@@ -185,7 +201,7 @@ def load_csv(
     transforms: Sequence[Transform] = (),
     dry_run: bool = False,
     max_records_per_file: int | None = None,
-    using: str = "parquet",
+    using: str | None = None,
     dialect: Dialect = Dialect(),
     schema: T.StructType | str | None = None,
     sample_rows: int | None = None,
@@ -200,15 +216,19 @@ def load_csv(
 
     Inference reads the whole input once more than the write does; a declared schema or
     ``sample_rows`` saves that scan, and cells the sample misjudged show up in ``rejected``.
-    Failures are reported in the result, not raised.
+    A folder whose files differ in their headers, and quoted cells with newlines read without
+    ``multiline``, fail the load before it commits. Failures are reported in the result, not
+    raised.
     """
     began = time.monotonic()
     result = LoadResult(table_name=table)
-    job = JobLog(spark, history_table, job_id or uuid.uuid4().hex) if history_table else None
-    if job:
-        shown = path if isinstance(path, str) else ",".join(path)
-        job.create(table_name=table, mode=mode, original_filename=shown)
+    job = None
     try:
+        if history_table:
+            log = JobLog(spark, history_table, job_id or uuid.uuid4().hex)
+            shown = path if isinstance(path, str) else ",".join(path)
+            log.create(table_name=table, mode=mode, original_filename=shown)
+            job = log
         name = result.table_name = resolve_table(spark, table)
         result.log.append(f"target {name}, mode {mode}")
         options = dict(
@@ -234,13 +254,17 @@ def load_csv(
         else:
             if progress:
                 progress(0)
-            text, load_schema, result.ignored_columns = prepare(spark, path, **options)
+            text, load_schema, result.ignored_columns = prepare(
+                spark, path, **options, ragged_flag=_RAGGED
+            )
             rebuilds = mode == "overwrite" and replace_schema
             if table_exists(spark, name) and not rebuilds:
                 load_schema = fit_to_target(spark, load_schema, name)
             if job:
                 job.progress(1)
             watch = Observation(f"load-{uuid.uuid4().hex[:8]}")
+            shape = Observation(f"shape-{uuid.uuid4().hex[:8]}")
+            text = text.observe(shape, F.count_if(F.col(_RAGGED)).alias("ragged")).drop(_RAGGED)
             typed = apply_schema_observed(text, load_schema, watch, enforce_required=True)
             write_table(
                 typed,
@@ -254,6 +278,7 @@ def load_csv(
             result.rows_processed = watch.get["rows"]
             result.batches = watch.get["batches"]
             result.rejected = rejected_counts(watch.get)
+            result.ragged = shape.get["ragged"]
             result.log.append(f"wrote {result.rows_processed} rows")
             if progress:
                 progress(100)

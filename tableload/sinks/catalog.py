@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 from ..operators.layout import Transform, parse_transform
 from ..operators.schema import create_table_sql, schema_rows
 
-_TRANSFORMS_PROPERTY = "tableload.transforms"
+TRANSFORMS_PROPERTY = "tableload.transforms"
 
 
 def quoted(name: str) -> str:
@@ -18,6 +19,11 @@ def quoted(name: str) -> str:
     return ".".join("`" + p.strip("`").replace("`", "``") + "`" for p in name.split("."))
 
 
+def quoted_part(name: str) -> str:
+    """One column or table name, quoted; a dot in it is part of the name."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def resolve_table(spark: SparkSession, name: str) -> str:
     """``catalog.database.table`` from one to three parts, the session filling the rest."""
     parts = [p.strip() for p in name.split(".")]
@@ -79,14 +85,29 @@ def remember_transforms(
 ) -> None:
     """Keep the partition transforms as a table property, for later appends and reads."""
     if transforms:
-        text = "; ".join(str(t) for t in transforms).replace("'", "\\'")
+        text = json.dumps([[t.column, t.kind, t.width] for t in transforms])
+        text = text.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(
-            f"ALTER TABLE {quoted(name)} SET TBLPROPERTIES ('{_TRANSFORMS_PROPERTY}' = '{text}')"
+            f"ALTER TABLE {quoted(name)} SET TBLPROPERTIES ('{TRANSFORMS_PROPERTY}' = '{text}')"
         )
 
 
 def table_transforms(spark: SparkSession, name: str) -> list[Transform]:
     """The partition transforms a table was created with."""
-    props = spark.sql(f"SHOW TBLPROPERTIES {quoted(name)}").collect()
-    text = next((r["value"] for r in props if r["key"] == _TRANSFORMS_PROPERTY), "")
+    text = table_properties(spark, name).get(TRANSFORMS_PROPERTY, "")
+    if text.startswith("["):
+        return [Transform(*t) for t in json.loads(text)]
     return [parse_transform(t) for t in text.split(";") if t.strip()]
+
+
+def table_properties(spark: SparkSession, name: str) -> dict[str, str]:
+    """The table's properties, without those Spark keeps for itself."""
+    props = spark.sql(f"SHOW TBLPROPERTIES {quoted(name)}").collect()
+    return {r["key"]: r["value"] for r in props if not r["key"].startswith("spark.sql.")}
+
+
+def table_storage(spark: SparkSession, name: str) -> tuple[str, str]:
+    """(provider, location) of a table."""
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(name)}").collect()
+    told = {r["col_name"]: r["data_type"] for r in rows}
+    return told["Provider"].lower(), told["Location"]

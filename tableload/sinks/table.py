@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +18,15 @@ from ..operators.layout import (
     spread_by_partition,
 )
 from .catalog import (
+    TRANSFORMS_PROPERTY,
     drop_table,
     quoted,
+    quoted_part,
     remember_transforms,
     resolve_table,
     table_exists,
+    table_properties,
+    table_storage,
     table_transforms,
 )
 
@@ -30,6 +34,10 @@ from .catalog import (
 _SNAPSHOT_SOURCES = ("iceberg", "delta")
 
 
+# The folder that an overwrite made for a table.
+_FOLDER = re.compile(r"__data_[0-9a-f]{32}$")
+
+
 def align_to_table(df: DataFrame, target: T.StructType) -> DataFrame:
     """The frame in the target's column order and types, matched by name.
 
@@ -76,12 +84,8 @@ def _create_filled(
     remember_transforms(df.sparkSession, name, transforms)
 
 
-def _insert(
-    df: DataFrame,
-    name: str,
-    transforms: Sequence[Transform],
-    max_records_per_file: int | None,
-    overwrite: bool,
+def _append(
+    df: DataFrame, name: str, transforms: Sequence[Transform], max_records_per_file: int | None
 ) -> None:
     spark = df.sparkSession
     derived = add_partition_columns(df, transforms)
@@ -89,23 +93,48 @@ def _insert(
     writer = spread_by_partition(aligned, transforms).write
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    with _whole_table_overwrite(spark):
-        writer.insertInto(quoted(name), overwrite=overwrite)
+    writer.insertInto(quoted(name))
 
 
-@contextmanager
-def _whole_table_overwrite(spark: SparkSession) -> Iterator[None]:
-    """An overwrite replaces every partition, even in a session set to replace only some.
+def _replace(
+    df: DataFrame,
+    name: str,
+    using: str | None,
+    transforms: Sequence[Transform],
+    max_records_per_file: int | None,
+) -> None:
+    """Put a complete new folder behind the table's name.
 
-    ``insertInto`` heeds the session setting only, not a writer option.
+    The frame is written beside the old data first. Only then the name is given to the new
+    folder, and the old data goes last, so a load that fails leaves the table as it was.
     """
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "static")
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
+    spark = df.sparkSession
+    provider, old = table_storage(spark, name)
+    properties = table_properties(spark, name)
+    using = using or provider
+    new = f"{_FOLDER.sub('', old.rstrip('/'))}__data_{uuid.uuid4().hex}"
+    laid_out = _laid_out(df, transforms)
+    writer = laid_out.write.format(using)
+    if max_records_per_file:
+        writer = writer.option("maxRecordsPerFile", max_records_per_file)
+    if transforms:
+        writer = writer.partitionBy(*[t.partition_column for t in transforms])
+    writer.save(new)
+    drop_table(spark, name)
+    columns = ", ".join(f"{quoted_part(f.name)} {f.dataType.simpleString()}" for f in laid_out.schema)
+    ddl = f"CREATE TABLE {quoted(name)} ({columns}) USING {using}"
+    if transforms:
+        ddl += f" PARTITIONED BY ({', '.join(quoted_part(t.partition_column) for t in transforms)})"
+    spark.sql(f"{ddl} LOCATION '{new}'")
+    if transforms:
+        spark.catalog.recoverPartitions(quoted(name))
+    for key, value in properties.items():
+        if key != TRANSFORMS_PROPERTY:
+            spark.sql(f"ALTER TABLE {quoted(name)} SET TBLPROPERTIES ('{key}' = '{value}')")
+    remember_transforms(spark, name, transforms)
+    spark.catalog.refreshTable(quoted(name))
+    if _FOLDER.search(old):  # a table with a folder of its own choice keeps its files when dropped
+        spark.range(0).write.mode("overwrite").parquet(old)
 
 
 def write_table(
@@ -116,15 +145,15 @@ def write_table(
     transforms: Sequence[Transform] = (),
     replace_schema: bool = True,
     max_records_per_file: int | None = None,
-    using: str = "parquet",
+    using: str | None = None,
 ) -> None:
     """Write a frame, creating the table when it is missing.
 
-    ``append`` adds rows. ``overwrite`` leaves exactly this frame: with ``replace_schema`` the
-    table is rebuilt, without, it keeps its schema and layout. A rebuilt table is written beside
-    the old one and swapped in once complete, so a failed load leaves the old rows and a frame
-    may read the table it replaces. Spark's in-memory catalog cannot rename partitioned tables;
-    there they are overwritten in place. One Spark job writes all rows either way.
+    ``append`` adds rows; transforms given must be the table's. ``overwrite`` leaves exactly this
+    frame: with ``replace_schema`` the table is rebuilt, without, it keeps its schema and layout.
+    Either way the new rows are complete in a folder of their own before they replace the old
+    ones, so a failed load leaves the old rows and a frame may read the table it replaces.
+    Provider (unless ``using`` is given) and properties survive. One Spark job writes all rows.
     """
     if mode not in ("append", "overwrite"):
         raise ValueError(f"mode must be append or overwrite, not {mode!r}")
@@ -133,19 +162,20 @@ def write_table(
     if using in _SNAPSHOT_SOURCES:
         _write_snapshot(df, name, mode, transforms, replace_schema, using)
     elif not table_exists(spark, name):
-        _create_filled(df, name, using, transforms, max_records_per_file)
+        _create_filled(df, name, using or "parquet", transforms, max_records_per_file)
     elif mode == "append" or not replace_schema:
         kept = table_transforms(spark, name)
-        _insert(df, name, kept, max_records_per_file, overwrite=mode == "overwrite")
-    elif transforms and spark.conf.get("spark.sql.catalogImplementation") == "in-memory":
-        _create_filled(df, name, using, transforms, max_records_per_file, mode="overwrite")
+        if transforms and list(transforms) != kept:
+            raise ValueError(
+                f"{name} is laid out by {[str(t) for t in kept]}, not {[str(t) for t in transforms]}"
+            )
+        if mode == "append":
+            _append(df, name, kept, max_records_per_file)
+        else:
+            target = drop_partition_columns(spark.table(quoted(name)), kept).schema
+            _replace(align_to_table(df, target), name, None, kept, max_records_per_file)
     else:
-        stage = f"{name}__load_{uuid.uuid4().hex[:12]}"
-        _create_filled(df, stage, using, transforms, max_records_per_file)
-        drop_table(spark, name)
-        new_name = ".".join(name.split(".")[1:])
-        spark.sql(f"ALTER TABLE {quoted(stage)} RENAME TO {quoted(new_name)}")
-        spark.catalog.refreshTable(quoted(name))
+        _replace(df, name, using, transforms, max_records_per_file)
 
 
 def _write_snapshot(

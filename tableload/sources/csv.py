@@ -38,14 +38,16 @@ class Dialect:
         }
 
 
-def column_names(
+def header_names(
     spark: SparkSession,
     path: str | list[str],
     dialect: Dialect = Dialect(),
     *,
     path_glob: str | None = None,
-) -> list[str]:
-    """Exact header names (read as data, so Spark renames nothing), or ``col_0`` onwards."""
+) -> tuple[list[str], bool]:
+    """Exact header names (read as data, so Spark renames nothing), or ``col_0`` onwards; and
+    whether they are the header's cells unchanged, so that other files' headers can be compared
+    with them."""
     reader = spark.read.options(**dialect.options())
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
@@ -53,8 +55,20 @@ def column_names(
     if first is None:
         raise ValueError(f"no lines in {path}")
     if not dialect.header:
-        return [f"col_{i}" for i in range(len(first))]
-    return unique_names([(cell or "").removeprefix("﻿") for cell in first])
+        return [f"col_{i}" for i in range(len(first))], False
+    names = unique_names([(cell or "").removeprefix("\ufeff") for cell in first])
+    return names, names == list(first)
+
+
+def column_names(
+    spark: SparkSession,
+    path: str | list[str],
+    dialect: Dialect = Dialect(),
+    *,
+    path_glob: str | None = None,
+) -> list[str]:
+    """The names of ``header_names``."""
+    return header_names(spark, path, dialect, path_glob=path_glob)[0]
 
 
 def text_schema(names: list[str]) -> T.StructType:
@@ -85,15 +99,23 @@ def read_text(
     """All columns as text, null tokens cleared.
 
     ``names`` replaces the header's (or generated) names and saves the look at the first line.
+    Without ``names``, every file must have the header of the first one: a file with other names
+    or another order fails the read, which names it, instead of filling the wrong columns.
+    (Headers with empty or repeated names or spaces around them are not compared.)
+
     Rows with too many fields lose the extra ones, short rows end in nulls. ``ragged_flag``
-    names a boolean column that marks both; it costs the parser its column pruning.
+    names a boolean column that marks both; it costs the parser its column pruning. A marked row
+    with an odd number of quotes fails the read: a quoted cell runs over the end of its line.
     """
+    checked = False
     if names is None:
-        names = column_names(spark, path, dialect, path_glob=path_glob)
+        names, checked = header_names(spark, path, dialect, path_glob=path_glob)
     schema = text_schema(names)
     reader = spark.read.options(**dialect.options()).option(
         "header", str(dialect.header).lower()
     )
+    if checked:
+        reader = reader.option("enforceSchema", "false")
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
     if not ragged_flag:
@@ -103,7 +125,12 @@ def read_text(
         reader.option("columnNameOfCorruptRecord", raw).schema(schema.add(raw, "string")).csv(path)
     )
     cells: list[Column] = [null_tokens(column(n), tokens).alias(n) for n in names]
-    return marked.select(*cells, F.col(raw).isNotNull().alias(ragged_flag))
+    ragged = F.col(raw).isNotNull()
+    if dialect.quote and not dialect.multiline:
+        quotes = F.length(raw) - F.length(F.replace(F.col(raw), F.lit(dialect.quote), F.lit("")))
+        message = F.lit("a quoted cell runs over the end of its line: set multiline=True")
+        ragged = F.when(quotes % 2 == 1, F.raise_error(message).cast("boolean")).otherwise(ragged)
+    return marked.select(*cells, ragged.alias(ragged_flag))
 
 
 def row_count(df: DataFrame) -> int:

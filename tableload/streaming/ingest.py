@@ -18,7 +18,7 @@ from ..plans.load import prepare
 from ..session import path_exists
 from ..sinks.catalog import create_table, quoted, resolve_table, table_exists
 from ..sinks.table import read_table
-from ..sources.csv import INPUT_GLOB, Dialect, column_names, text_schema
+from ..sources.csv import INPUT_GLOB, Dialect, header_names, text_schema
 
 # Every row carries the micro-batch that wrote it; replaying a batch replaces its own rows.
 BATCH_COLUMN = "load_batch"
@@ -33,12 +33,13 @@ class IngestResult:
     rejected: dict[str, int] = field(default_factory=dict)
 
 
-def _stored_schema(spark: SparkSession, path: str) -> tuple[list[str], T.StructType] | None:
+def _stored_schema(spark: SparkSession, path: str) -> tuple[list[str], T.StructType, bool] | None:
     # The marker appears only once the schema is completely written.
     if not path_exists(spark, f"{path}/_SUCCESS"):
         return None
     content = json.loads(spark.read.text(path).head()["value"])
-    return content["names"], T.StructType.fromJson(content["schema"])
+    checked = content.get("checked", False)
+    return content["names"], T.StructType.fromJson(content["schema"]), checked
 
 
 def _agreed_schema(
@@ -48,13 +49,14 @@ def _agreed_schema(
     dialect: Dialect,
     schema: T.StructType | str | None,
     sample_rows: int | None,
-) -> tuple[list[str], T.StructType]:
-    """Header names and types fixed by the first run and stored beside the checkpoint."""
+) -> tuple[list[str], T.StructType, bool]:
+    """Header names and types fixed by the first run and stored beside the checkpoint, and
+    whether other headers can be compared with the names."""
     path = checkpoint.rstrip("/") + "-schema"
     stored = _stored_schema(spark, path)
     if stored:
         return stored
-    names = column_names(spark, directory, dialect, path_glob=INPUT_GLOB)
+    names, checked = header_names(spark, directory, dialect, path_glob=INPUT_GLOB)
     text, load_schema, _ = prepare(
         spark,
         directory,
@@ -66,9 +68,10 @@ def _agreed_schema(
     )
     if schema is None:
         names = text.columns
-    content = json.dumps({"names": names, "schema": load_schema.jsonValue()})
+    stored = {"names": names, "schema": load_schema.jsonValue(), "checked": checked}
+    content = json.dumps(stored)
     spark.createDataFrame([(content,)], "value string").coalesce(1).write.mode("overwrite").text(path)
-    return names, load_schema
+    return names, load_schema, checked
 
 
 def replace_batch(batch: DataFrame, batch_id: int, table: str) -> None:
@@ -99,11 +102,12 @@ def ingest_dir(
     """Load every file the checkpoint has not seen yet, then stop.
 
     Restarting after a failure neither loses nor repeats rows. The first run fixes the schema;
-    later cells that do not fit it become null and are counted. ``on_batch`` sees the running
-    totals after every micro-batch.
+    later cells that do not fit it become null and are counted. A file with another header and a
+    null in a required column fail the run; nothing of that micro-batch is stored. ``on_batch``
+    sees the running totals after every micro-batch.
     """
     name = resolve_table(spark, table)
-    names, load_schema = _agreed_schema(
+    names, load_schema, checked = _agreed_schema(
         spark, directory, checkpoint, dialect, schema, sample_rows
     )
     reader = (
@@ -112,6 +116,8 @@ def ingest_dir(
         .option("header", str(dialect.header).lower())
         .option("pathGlobFilter", INPUT_GLOB)
     )
+    if checked:
+        reader = reader.option("enforceSchema", "false")
     if max_files_per_batch:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
     text = reader.csv(directory)
@@ -127,7 +133,7 @@ def ingest_dir(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         watch = Observation(f"ingest-{uuid.uuid4().hex[:8]}")
-        typed = apply_schema_observed(batch, load_schema, watch)
+        typed = apply_schema_observed(batch, load_schema, watch, enforce_required=True)
         laid_out = spread_by_partition(add_partition_columns(typed, transforms), transforms)
         replace_batch(laid_out, batch_id, name)
         result.rows += watch.get["rows"]
