@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import staged, text_batches
 
-BITS = 20
-TRAINING_DOCS = 16_000  # bound of the labelled rows that are learnt from, per label
+BITS = 18
+TRAINING_DOCS = 8_000  # bound of the labelled rows that are learnt from, per label
 SHARDS = 4
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 1.0
@@ -105,7 +105,7 @@ def fit_toxicity(
     """A model from ``labelled`` (doc_id, label 0 or 1) and the texts of ``docs``.
 
     The sample has a bound: of each label the ``training_docs`` ids of least hash. Their features
-    are extracted in one pass and staged; ``shards`` tasks then learn side by side, and after
+    are extracted in one pass and staged by shard; tasks then learn side by side, and after
     each epoch their states are averaged coordinate by coordinate in Spark. What reaches the
     driver is bounded by 2**bits coordinates. Rows with null ids or other labels are left out;
     ids labelled both ways count as toxic; without labels the score is one half.
@@ -140,13 +140,15 @@ def fit_toxicity(
         extract, f"doc_id {kind}, label int, features binary"
     )
     shard = F.pmod(F.xxhash64("doc_id", "features"), F.lit(shards)).cast("int")
-    rows = staged(rows.withColumn("shard", shard), "toxicity-features")
+    dealt = rows.withColumn("shard", shard).repartition(shards, "shard")
+    order = F.xxhash64("doc_id", "features")
+    rows = staged(dealt.sortWithinPartitions("shard", order), "toxicity-features")
     size = 1 << bits
     state = (np.zeros(size + 1), np.zeros(size + 1))
-    for epoch in range(epochs):
+    for _ in range(epochs):
         shared = spark.sparkContext.broadcast(state)
 
-        def learn(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch):
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared):
             learners: dict[int, Ftrl] = {}
             for batch in batches:
                 columns = [batch.column(c).to_pylist() for c in ("shard", "label", "features")]
@@ -164,9 +166,7 @@ def fit_toxicity(
                         ["i", "z", "n"],
                     )
 
-        order = F.xxhash64(F.lit(epoch), "doc_id", "features")
-        dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", order)
-        learnt = dealt.mapInArrow(learn, "i int, z double, n double")
+        learnt = rows.mapInArrow(learn, "i int, z double, n double")
         # A shard that never met a coordinate still holds the state it began with.
         met = learnt.groupBy("i").agg(
             F.sum("z").alias("z"), F.sum("n").alias("n"), F.count("*").alias("c")
