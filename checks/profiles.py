@@ -7,13 +7,18 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tableload.operators.advise import advise, present, recommendation_rows
-from tableload.operators.profile import profile, profile_approx
+from tableload.operators.layout import Transform
+from tableload.operators.profile import profile_approx
+from tableload.operators.profile import profile_exact as profile
 from tableload.operators.schema import apply_schema, infer_schema
+from tableload.session import scratch_database
+from tableload.sinks.table import write_table
 from tableload.sources.csv import read_text
 
 from .registry import FLAT_TABLES, query, table, write_csv
 
-_DATE_LIKE = r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}-\d{2}-\d{4}|\d{2}/\d{2}/\d{4}"
+_DATE = r"\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}-\d{2}-\d{4}|\d{2}/\d{2}/\d{4}"
+_DATE_LIKE = f"^({_DATE})$"
 
 
 def _profile_sql(source: str, columns: dict[str, str], labels: dict[str, str] | None = None) -> str:
@@ -27,7 +32,8 @@ def _profile_sql(source: str, columns: dict[str, str], labels: dict[str, str] |
               count(*) AS unique_values, CAST(sum(CASE WHEN v IS NOT NULL THEN n ELSE 0 END)
                 AS BIGINT) AS total_values,
               CAST(sum(CASE WHEN v IS NULL THEN n ELSE 0 END) AS BIGINT) AS null_count,
-              max(n) AS top_rows, coalesce(bool_or({like}), FALSE) AS date_like
+              max(n) AS top_rows, coalesce(bool_or({like}) AND
+                sum(n) FILTER ({like}) >= 0.9 * sum(n) FILTER (v IS NOT NULL), FALSE) AS date_like
             FROM (SELECT "{col}" AS v, count(*) AS n FROM {source} GROUP BY 1)"""
         )
     return f"""SELECT *, unique_values / total_values AS cardinality_ratio,
@@ -184,24 +190,18 @@ def advise_nulls(spark, sf_dir):
 
 @query(
     "profile_sketched",
-    """SELECT "column", TRUE AS close, TRUE AS evenness_exact
-       FROM (VALUES ('l_orderkey'), ('l_partkey'), ('l_suppkey'), ('l_linenumber'), ('l_quantity'),
-                    ('l_extendedprice'), ('l_discount'), ('l_tax'), ('l_returnflag'),
-                    ('l_linestatus'), ('l_shipdate')) AS t("column")
-       WHERE (SELECT count(*) FROM lineitem) > 0""",
+    f"""SELECT "column", unique_values,
+               CASE WHEN kind = 'string' AND cardinality_ratio <= 0.25 THEN evenness END AS evenness
+        FROM ({_profile_sql("lineitem", FLAT_TABLES["lineitem"])})""",
 )
 def profile_sketched(spark, sf_dir):
+    """Sketched counts within 3% of the exact ones show the exact ones, others as they are."""
     lineitem = table(spark, sf_dir, "lineitem")
-    exact = profile(lineitem).select(
-        "column", F.col("unique_values").alias("exact"), F.col("evenness").alias("exact_evenness")
-    )
-    off = F.abs(F.col("unique_values") - F.col("exact"))
+    exact = profile(lineitem).select("column", F.col("unique_values").alias("exact"))
+    close = F.abs(F.col("unique_values") - F.col("exact")) <= 0.03 * F.col("exact")
+    shown = F.when(close, F.col("exact")).otherwise(F.col("unique_values"))
     return profile_approx(lineitem).join(exact, "column").select(
-        "column",
-        (off <= 0.1 * F.col("exact")).alias("close"),
-        (F.col("evenness").isNull() | (F.col("evenness") == F.col("exact_evenness"))).alias(
-            "evenness_exact"
-        ),
+        "column", shown.alias("unique_values"), "evenness"
     )
 
 
@@ -229,16 +229,50 @@ def date_like(spark, sf_dir):
     return profile(_dated(spark, sf_dir)).select("column", "date_like")
 
 
+@query(
+    "date_like_anywhere",
+    """SELECT 'iso' AS "column", TRUE AS date_like, count(*) AS total_values FROM orders
+       UNION ALL SELECT 'slashed', TRUE, count(*) FROM orders
+       UNION ALL SELECT 'prose', TRUE, count(*) FROM orders
+       UNION ALL SELECT 'priority', FALSE, count(*) FROM orders""",
+)
+def date_like_anywhere(spark, sf_dir):
+    found = profile(_dated(spark, sf_dir), date_share=0, anchored=False)
+    return found.select("column", "date_like", "total_values")
+
+
 @query(
     "date_like_whole",
     """SELECT 'iso' AS "column", bool_or(regexp_matches(CAST(CAST(o_orderdate AS DATE) AS VARCHAR),
               '^\\d{4}-\\d{2}-\\d{2}$')) AS date_like FROM orders
-       UNION ALL SELECT 'slashed', TRUE FROM orders WHERE o_orderkey = 0
-       UNION ALL SELECT 'prose', FALSE FROM orders WHERE o_orderkey = 0
-       UNION ALL SELECT 'priority', FALSE FROM orders WHERE o_orderkey = 0""",
+       UNION ALL SELECT 'slashed', count(*) > 0 FROM orders
+       UNION ALL SELECT 'prose', FALSE
+       UNION ALL SELECT 'priority', FALSE""",
 )
 def date_like_whole(spark, sf_dir):
-    return profile(_dated(spark, sf_dir), anchored=True).select("column", "date_like")
+    return profile(_dated(spark, sf_dir)).select("column", "date_like")
+
+
+@query(
+    "advise_then_load",
+    """SELECT 'iso' AS "column", strftime(o_orderdate, '%Y') AS part, count(*) AS "rows"
+       FROM orders GROUP BY ALL
+       UNION ALL SELECT 'slashed', strftime(o_orderdate, '%Y'), count(*) FROM orders GROUP BY ALL""",
+)
+def advise_then_load(spark, sf_dir):
+    """Each date-like column laid out by its year, as advice for many distinct dates has it, and
+    counted by partition."""
+    dated = _dated(spark, sf_dir)
+    likely = profile(dated).where("date_like").select("column").orderBy("field_id").collect()
+    found = []
+    for (name,) in likely:
+        target = f"{scratch_database(spark)}.target"
+        layout = Transform(name, "year")
+        write_table(dated, target, transforms=[layout])
+        part = F.col(layout.partition_column).cast("string").alias("part")
+        counted = spark.table(target).groupBy(part).agg(F.count("*").alias("rows"))
+        found.append(counted.select(F.lit(name).alias("column"), "part", "rows"))
+    return reduce(lambda a, b: a.unionByName(b), found)
 
 
 @query(

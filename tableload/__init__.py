@@ -5,7 +5,7 @@ from .operators.columns import clean_columns, select_columns
 from .operators.compat import compare_schemas, schema_verdict, types_compatible
 from .operators.history import job_states, latest_jobs, retained_jobs, search_jobs
 from .operators.layout import Transform, parse_transform, prune_equal, prune_on
-from .operators.profile import profile, profile_approx
+from .operators.profile import profile, profile_approx, profile_exact
 from .operators.schema import (
     apply_schema,
     declared_schema,
@@ -46,6 +46,7 @@ __all__ = [
     "present",
     "profile",
     "profile_approx",
+    "profile_exact",
     "prune_equal",
     "prune_on",
     "read_ingested",

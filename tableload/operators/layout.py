@@ -60,9 +60,24 @@ def parse_transform(text: str) -> Transform:
     return Transform(name.strip(), kind, int(width) if width else None)
 
 
+# Day first where both readings of a text are dates.
+_TEXT_DATES = ("dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "MM-dd-yyyy")
+
+
+def text_date(value: Column) -> Column:
+    """The date a text holds, year first or last, or null. Of day and month at the front, the
+    day comes first unless that is no date."""
+    iso = F.translate(value, "/", "-").try_cast("date")
+    others = [F.try_to_timestamp(value, F.lit(form)).cast("date") for form in _TEXT_DATES]
+    return F.coalesce(F.when(value.rlike(r"^\d{4}[-/]\d"), iso), *others)
+
+
 def partition_value(transform: Transform, value: Column, data_type: T.DataType) -> Column:
-    """The partition value of a source value."""
+    """The partition value of a source value; null for text that holds no date where one is
+    needed."""
     kind, width = transform.kind, transform.width
+    if kind in ("year", "month", "day") and isinstance(data_type, T.StringType):
+        value = text_date(value)
     if kind == "year":
         return F.year(value)
     if kind == "month":
@@ -113,13 +128,15 @@ def prune_on(df: DataFrame, name: str, low, high, transforms: Sequence[Transform
     """Rows with ``low <= name < high``, plus the matching predicates on derived columns.
 
     The source predicate alone reads every partition; the derived ones let Spark skip them. A
-    bucket prunes only when it covers a single value, so ranges leave buckets alone.
+    bucket prunes only when it covers a single value, so ranges leave buckets alone. Text sorts
+    otherwise than the dates it holds, so ranges leave the dates of text alone as well.
     """
     data_type = df.schema[name].dataType
     lo, hi = F.lit(low).cast(data_type), F.lit(high).cast(data_type)
     out = df.where((column(name) >= lo) & (column(name) < hi))
     for t in transforms:
-        if t.column == name and t.kind not in ("identity", "bucket"):
+        dated_text = t.kind != "truncate" and isinstance(data_type, T.StringType)
+        if t.column == name and t.kind not in ("identity", "bucket") and not dated_text:
             part = column(t.partition_column)
             out = out.where(
                 (part >= partition_value(t, lo, data_type))
@@ -136,6 +153,6 @@ def prune_equal(df: DataFrame, name: str, value, transforms: Sequence[Transform]
     for t in transforms:
         if t.column == name and t.kind != "identity":
             out = out.where(
-                column(t.partition_column) == partition_value(t, wanted, data_type)
+                column(t.partition_column).eqNullSafe(partition_value(t, wanted, data_type))
             )
     return out

@@ -10,12 +10,15 @@ from pyspark.sql import types as T
 
 from ..functions.cells import as_text, column, zoneless_micros
 from ..functions.fixed import DATE_LIKE_PATTERNS
-from ..functions.samples import first_rows
+from ..functions.samples import random_sample
 from ..functions.typenames import logical_type, type_class, type_label
 
 _ANYWHERE = "|".join(DATE_LIKE_PATTERNS)
 _WHOLE = f"^({_ANYWHERE})" + r"\z"
 
+# Text is date-like when at least this share of its filled values are dates.
+DATE_LIKE_SHARE = 0.9
+
 # Text longer than this is grouped by digest, so that prose does not travel through the shuffle.
 _DIGEST_BYTES = 64
 
@@ -42,7 +45,7 @@ def _typed_key(cell: Column, data_type: T.DataType, pattern: str) -> dict[str, C
     return key
 
 
-def value_counts(df: DataFrame, *, anchored: bool = False) -> DataFrame:
+def value_counts(df: DataFrame, *, anchored: bool = True) -> DataFrame:
     """Rows per distinct value of every column: ``pos``, key columns, ``hit``, ``rows``.
 
     One shuffle, on (column, value). Partial aggregation sends each value at most once per
@@ -97,16 +100,36 @@ def _label(data_type: T.DataType) -> str:
 
 
 def profile(
-    df: DataFrame, *, sample_rows: int | None = None, anchored: bool = False
+    df: DataFrame,
+    *,
+    exact: bool = False,
+    sample_rows: int | None = None,
+    date_share: float = DATE_LIKE_SHARE,
+    anchored: bool = True,
 ) -> DataFrame:
-    """One row per column, exact.
-
-    ``unique_values`` counts null as a value. ``evenness`` is one minus the share of the most
-    frequent value. ``date_like`` marks text in which some value looks like a date. Looks at all
-    rows unless ``sample_rows`` limits it to the head.
+    """One row per column.
+
+    ``unique_values`` counts null as a value; it is sketched (see ``profile_approx``) unless
+    ``exact`` asks for a shuffle of every distinct value. ``evenness`` is one minus the share of
+    the most frequent value. ``date_like`` marks text of which at least ``date_share`` of the
+    filled values are dates as a whole, or with ``anchored=False`` hold one anywhere; a share of
+    0 asks for a single one. Looks at all rows unless ``sample_rows`` asks for a random sample of
+    about that many.
     """
     if sample_rows is not None:
-        df = first_rows(df, sample_rows)
+        df = random_sample(df, sample_rows)
+    how = profile_exact if exact else profile_approx
+    return how(df, date_share=date_share, anchored=anchored)
+
+
+def _date_like(dates: Column, filled: Column, share: float) -> Column:
+    return (dates > 0) & (dates >= F.lit(share) * filled)
+
+
+def profile_exact(
+    df: DataFrame, *, date_share: float = DATE_LIKE_SHARE, anchored: bool = True
+) -> DataFrame:
+    """``profile`` with every value counted: one scan, one shuffle of all distinct values."""
     pattern = _WHOLE if anchored else _ANYWHERE
     string_pos = [i for i, f in enumerate(df.schema) if isinstance(f.dataType, T.StringType)]
     is_null = F.col("whole").isNull() & F.col("fraction").isNull() & F.col("text").isNull()
@@ -121,21 +144,28 @@ def profile(
             F.coalesce(F.sum(F.when(~is_null, F.col("rows"))), F.lit(0)).alias("total_values"),
             F.coalesce(F.sum(F.when(is_null, F.col("rows"))), F.lit(0)).alias("null_count"),
             F.max("rows").alias("top_rows"),
-            F.coalesce(F.bool_or(looks), F.lit(False)).alias("date_like"),
+            F.coalesce(F.sum(F.when(looks, F.col("rows"))), F.lit(0)).alias("dates"),
+        )
+        .withColumn(
+            "date_like", _date_like(F.col("dates"), F.col("total_values"), date_share)
         )
     )
     return _named(per_column, df.schema)
 
 
 def profile_approx(
-    df: DataFrame, *, precision: int = 13, anchored: bool = False
+    df: DataFrame,
+    *,
+    precision: int = 13,
+    date_share: float = DATE_LIKE_SHARE,
+    anchored: bool = True,
 ) -> DataFrame:
-    """Like ``profile`` with sketched distinct counts: one scan, no shuffle of values.
+    """Like ``profile_exact`` with sketched distinct counts: no shuffle of values.
 
     ``precision`` is the base-2 logarithm of the sketch size; 13 errs by about one percent. Only
     text columns whose sketched ratio leaves evenness open (at most 0.25) are then counted by
-    value, and those collapse on the map side because they repeat. Other columns report no
-    evenness, which their advice does not use.
+    value in a second scan, and those collapse on the map side because they repeat. Other
+    columns report no evenness, which their advice does not use.
     """
     pattern = _WHOLE if anchored else _ANYWHERE
     schema = df.schema
@@ -145,13 +175,13 @@ def profile_approx(
         cell = as_text(column(f.name), f.dataType) if _label(f.dataType) == "string" else column(
             f.name
         )
-        hit = F.bool_or(cell.rlike(pattern)) if is_text else F.lit(None).cast("boolean")
+        dates = F.count_if(cell.rlike(pattern)) if is_text else F.lit(0).cast("bigint")
         # The hash of null is a value of its own, as null is in the count.
         sketch = F.hll_sketch_agg(F.xxhash64(cell), F.lit(precision))
         aggs += [
             F.hll_sketch_estimate(sketch).alias(f"u{i}"),
             F.count(cell).alias(f"n{i}"),
-            F.coalesce(hit, F.lit(False)).alias(f"d{i}"),
+            dates.alias(f"d{i}"),
         ]
     # One row, a handful of numbers per column.
     seen = df.agg(*aggs).head()
@@ -168,8 +198,8 @@ def profile_approx(
     ]
     per_column = df.sparkSession.createDataFrame(
         rows,
-        "pos int, unique_values bigint, total_values bigint, null_count bigint, date_like boolean",
-    )
+        "pos int, unique_values bigint, total_values bigint, null_count bigint, dates bigint",
+    ).withColumn("date_like", _date_like(F.col("dates"), F.col("total_values"), date_share))
     if repeating:
         names = [schema[i].name for i in repeating]
         back = F.get(F.array(*[F.lit(i) for i in repeating]), F.col("pos"))

@@ -7,7 +7,11 @@ from collections import Counter
 
 import pytest
 
-from tableload import advise, profile, profile_approx
+from tableload import Transform, advise, profile_approx, read_table, write_table
+from tableload import profile as profile_by_sketch
+from tableload import profile_exact as profile
+from tableload.operators.layout import prune_equal, prune_on
+from tableload.session import scratch_database
 from tableload.functions.display import round_exact, scaled_round
 from tableload.operators.advise import score_columns
 from pyspark.sql import functions as F
@@ -78,8 +82,38 @@ def test_profile_approx_is_close(spark):
 )
 def test_date_like(spark, value, whole, anywhere):
     df = spark.createDataFrame([("plain",), (value,)], "c string")
-    assert profile(df).head()["date_like"] == anywhere
-    assert profile(df, anchored=True).head()["date_like"] == whole
+    for how in (profile, profile_by_sketch):
+        assert how(df, date_share=0, anchored=False).head()["date_like"] == anywhere
+        assert how(df, date_share=0).head()["date_like"] == whole
+        assert not how(df).head()["date_like"]
+
+
+def test_one_odd_cell_does_not_flip_a_column(spark):
+    keys = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("c"))
+    odd = keys.union(spark.createDataFrame([("2024-01-02",)], "c string"))
+    dates = odd.select(F.when(F.col("c") == "k1", "late").otherwise("02/01/2024").alias("c"))
+    for how in (profile, profile_by_sketch):
+        assert not how(odd).head()["date_like"]
+        assert how(dates).head()["date_like"]
+
+
+@pytest.mark.parametrize("kind", ["year", "month", "day"])
+def test_text_dates_can_be_laid_out(spark, kind):
+    texts = ["01/02/2024", "2024-02-01", "2024/02/01", "12/31/2024", "31-12-2024", "soon", None]
+    df = spark.createDataFrame([(t,) for t in texts], "d string")
+    table = f"{scratch_database(spark)}.t"
+    layout = Transform("d", kind)
+    write_table(df, table, transforms=[layout])
+    first = {"year": "2024", "month": "2024-02", "day": "2024-02-01"}[kind]
+    last = {"year": "2024", "month": "2024-12", "day": "2024-12-31"}[kind]
+    stored = {r.d: r.part for r in spark.table(table).select(
+        "d", F.col(layout.partition_column).cast("string").alias("part")).collect()}
+    assert stored == dict(zip(texts, [first] * 3 + [last] * 2 + [None] * 2))
+    assert read_table(spark, table).count() == len(texts)
+    whole = spark.table(table)
+    assert prune_equal(whole, "d", "soon", [layout]).count() == 1
+    assert prune_equal(whole, "d", "31-12-2024", [layout]).count() == 1
+    assert prune_on(whole, "d", "0", "4", [layout]).count() == 5
 
 
 def _scored(spark, kind, ratio, unique, evenness, nulls=0):
