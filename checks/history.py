@@ -169,8 +169,8 @@ def latest_jobs_query(spark, sf_dir):
 @query(
     "job_retention",
     f"""{_STATES_SQL} SELECT {", ".join(_SHOWN)} FROM states
-        WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY
-        ORDER BY created_at DESC NULLS LAST, job_id LIMIT 100""",
+        WHERE coalesce(created_at, last_update) >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY
+        ORDER BY coalesce(created_at, last_update) DESC, job_id LIMIT 100""",
 )
 def job_retention(spark, sf_dir):
     now = F.lit("2024-01-31").cast("timestamp_ntz")

@@ -175,6 +175,20 @@ def parse_dates(spark, sf_dir):
     return apply_schema(read_text(spark, write_csv(df, "dates")), schema)
 
 
+@query(
+    "infer_long_integers",
+    """SELECT o_orderkey, o_orderkey || '00000000000000000001' AS long_id,
+              '12345678901234567' || (o_custkey % 900 + 100) AS mixed FROM orders""",
+)
+def infer_long_integers(spark, sf_dir):
+    """Whole numbers past bigint keep every digit."""
+    key = F.col("o_orderkey")
+    mixed = F.concat(F.lit("12345678901234567"), F.col("o_custkey") % 900 + 100)
+    longer = F.concat(key, F.lit("00000000000000000001"))
+    df = table(spark, sf_dir, "orders").select(key, longer.alias("long_id"), mixed.alias("mixed"))
+    return _loaded(spark, write_csv(df, "long"))
+
+
 @query("row_count", 'SELECT count(*) AS "rows" FROM documents')
 def row_count(spark, sf_dir):
     path = write_csv(table(spark, sf_dir, "documents"), "documents")

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tableload.operators.layout import Transform
-from tableload.operators.schema import rejected_cells
-from tableload.plans.load import load_csv, plan_load, prepare
-from tableload.session import scratch_database
-from tableload.sinks.catalog import resolve_table, table_rows
+from tableload.operators.history import job_states
+from tableload.plans.history import load_history
+from tableload.plans.load import load_csv, plan_load
+from tableload.session import scratch_database, scratch_path
+from tableload.sinks.catalog import (
+    create_table,
+    ensure_database,
+    resolve_table,
+    table_properties,
+    table_rows,
+    table_storage,
+)
 from tableload.sinks.chunks import chunk_plan
 from tableload.sinks.table import file_stats, write_table
+from tableload.sources.csv import Dialect
 
-from .registry import query, table, write_csv
+from .registry import query, table, write_csv, write_lines
 
 _ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 
@@ -113,22 +124,20 @@ def write_overwrite_self(spark, sf_dir):
     return spark.table(target)
 
 
-_PART_BYTES = """strlen(CAST(p_partkey AS VARCHAR)) + strlen(p_name) + strlen(p_brand)
-  + strlen(p_type) + strlen(CAST(p_size AS VARCHAR)) + 3 * 2 + 4 * 2 + 2"""
+_PART_BYTES = "8 + strlen(p_name) + strlen(p_brand) + strlen(p_type) + 4 + 8"
 
 
 @query(
     "chunk_plan",
     f"""SELECT total_rows, total_bytes, rows_per_chunk,
                CAST(ceil(total_rows / rows_per_chunk) AS BIGINT) AS chunks
-        FROM (SELECT total_rows, total_bytes, greatest(1, least(500, CAST(floor(
-                (20000 - 64) / (total_bytes / total_rows + 2)) AS BIGINT))) AS rows_per_chunk
+        FROM (SELECT total_rows, total_bytes, greatest(1, CAST(floor(
+                20000 * total_rows / total_bytes) AS BIGINT)) AS rows_per_chunk
               FROM (SELECT count(*) AS total_rows,
                            CAST(sum({_PART_BYTES}) AS BIGINT) AS total_bytes FROM part))""",
 )
 def chunk_plan_query(spark, sf_dir):
-    part = table(spark, sf_dir, "part").drop("p_retailprice")
-    return chunk_plan(part, base_bytes=64, max_bytes=20_000)
+    return chunk_plan(table(spark, sf_dir, "part"), max_bytes=20_000)
 
 
 @query(
@@ -185,14 +194,53 @@ def load_csv_append(spark, sf_dir):
 
 @query(
     "dry_run",
-    """SELECT 'append' AS mode, total_rows, rows_per_chunk,
-              CAST(ceil(total_rows / rows_per_chunk) AS BIGINT) AS batches,
-              total_rows / 5000 AS estimated_seconds, 1 AS tables_created, 0 AS tables_modified
-       FROM (SELECT count(*) AS total_rows, CAST(500 AS BIGINT) AS rows_per_chunk FROM orders)""",
+    """SELECT 'append' AS mode, count(*) AS total_rows, CAST(sum(8 + 8 + strlen(o_orderstatus) + 8
+                + 8 + strlen(o_orderpriority)) AS BIGINT) AS total_bytes,
+              CAST(0 AS INTEGER) AS columns_losing, count(*) / 5000 AS estimated_seconds,
+              1 AS tables_created, 0 AS tables_modified FROM orders""",
 )
 def dry_run(spark, sf_dir):
     path = write_csv(_orders(spark, sf_dir), "orders")
-    return plan_load(spark, path, _target(spark)).drop("table_name", "ddl")
+    losing = F.size(F.map_concat("rejected", "required_nulls")).alias("columns_losing")
+    return plan_load(spark, path, _target(spark)).select(
+        "mode", "total_rows", "total_bytes", losing, "estimated_seconds", "tables_created",
+        "tables_modified",
+    )
+
+
+@query(
+    "dry_run_rejects",
+    """SELECT count(*) AS total_rows, count(*) FILTER (event_id % 7 = 0) AS lost_value,
+              count(*) FILTER (event_id % 7 = 0) AS missing_value, 1 AS columns_losing,
+              CAST(ceil(count(*) / floor(100000 * count(*)
+                / sum(8 + 8 + CASE WHEN event_id % 7 = 0 THEN 0 ELSE 8 END))) AS BIGINT) AS files
+       FROM events""",
+)
+def dry_run_rejects(spark, sf_dir):
+    report = plan_load(
+        spark, _misfits(spark, sf_dir), _target(spark), schema=_REQUIRED_VALUE, file_bytes=100_000
+    )
+    return report.select(
+        "total_rows",
+        F.col("rejected")["value"].alias("lost_value"),
+        F.col("required_nulls")["value"].alias("missing_value"),
+        F.size("rejected").alias("columns_losing"),
+        "files",
+    )
+
+
+_THREE = """[{"name": "event_id", "type": "Long"}, {"name": "user_id", "type": "Long"},
+             {"name": "value", "type": "Double"}]"""
+_REQUIRED_VALUE = _THREE.replace('"Double"', '"Double", "required": true')
+
+
+def _misfits(spark, sf_dir):
+    """Events as text in which every seventh value is no number."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
+    late = F.when(F.col("event_id") % 7 == 0, "late misfit").otherwise(
+        F.col("value").cast("string")
+    )
+    return write_csv(events.withColumn("value", late), "events")
 
 
 @query(
@@ -219,21 +267,100 @@ def dry_run_overwrite(spark, sf_dir):
               CAST(0 AS BIGINT) AS rejected_user_id FROM events""",
 )
 def load_stats(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "user_id", "value")
-    late = F.when(F.col("event_id") % 7 == 0, "late misfit").otherwise(
-        F.col("value").cast("string")
+    result = load_csv(spark, _misfits(spark, sf_dir), _target(spark), schema=_THREE)
+    if not result.success:
+        raise RuntimeError(result.error)
+    lost = [result.rejected.get(n, 0) for n in ("value", "user_id")]
+    return spark.createDataFrame(
+        [(result.rows_processed, *lost)],
+        "rows bigint, rejected_value bigint, rejected_user_id bigint",
     )
-    text, schema, _ = prepare(
-        spark,
-        write_csv(events.withColumn("value", late), "events"),
-        schema='[{"name": "event_id", "type": "Long"}, {"name": "user_id", "type": "Long"},'
-        ' {"name": "value", "type": "Double"}]',
+
+
+@query(
+    "load_ragged",
+    """SELECT count(*) AS "rows", count(*) FILTER (p_partkey % 5 = 3) AS filled_rows,
+              count(*) FILTER (p_partkey % 5 IN (2, 3)) AS ragged FROM part""",
+)
+def load_ragged(spark, sf_dir):
+    """Rows cut or filled on load are counted."""
+    form = F.col("p_partkey") % 5
+    full = F.concat_ws(",", "p_partkey", "p_brand", "p_size")
+    line = F.when(form == 3, F.concat_ws(",", "p_partkey", "p_brand")).otherwise(full)
+    line = F.when(form == 2, F.concat(full, F.lit(",surplus"))).otherwise(line)
+    lines = table(spark, sf_dir, "part").select(line.alias("value"))
+    target = _target(spark)
+    schema = """[{"name": "col_0", "type": "Long"}, {"name": "col_1"},
+                 {"name": "col_2", "type": "Long"}]"""
+    result = load_csv(
+        spark, write_lines(lines, "ragged"), target, dialect=Dialect(header=False), schema=schema
     )
-    lost = rejected_cells(text, schema)
-    return text.agg(
+    if not result.success:
+        raise RuntimeError(result.error)
+    return spark.table(target).agg(
         F.count("*").alias("rows"),
-        F.count_if(lost["value"]).alias("rejected_value"),
-        F.count_if(lost["user_id"]).alias("rejected_user_id"),
+        F.count_if(F.col("col_2").isNull()).alias("filled_rows"),
+        F.lit(result.ragged).cast("bigint").alias("ragged"),
+    )
+
+
+@query(
+    "load_progress",
+    """SELECT percent, "rows" FROM (VALUES (0), (100)) AS p(percent),
+              (SELECT count(*) AS "rows" FROM orders)""",
+)
+def load_progress(spark, sf_dir):
+    seen = []
+    path = write_csv(_orders(spark, sf_dir), "orders")
+    result = load_csv(spark, path, _target(spark), progress=seen.append)
+    told = [(percent, result.rows_processed) for percent in seen]
+    return spark.createDataFrame(told, "percent int, rows bigint")
+
+
+@query(
+    "load_history_record",
+    """SELECT 'completed' AS status, 100 AS progress, 'append' AS mode,
+              CAST(count(*) AS VARCHAR) AS rows_processed, TRUE AS has_size, count(*) AS measured,
+              TRUE AS has_log FROM orders""",
+)
+def load_history_record(spark, sf_dir):
+    database = scratch_database(spark)
+    path = write_csv(_orders(spark, sf_dir), "orders")
+    load_csv(spark, path, f"{database}.target", history_table=f"{database}.jobs")
+    measured = F.get_json_object("performance_metrics", "$.total_rows").cast("bigint")
+    return job_states(load_history(spark, f"{database}.jobs")).select(
+        "status",
+        "progress",
+        "mode",
+        "rows_processed",
+        (F.col("file_size").cast("bigint") > 0).alias("has_size"),
+        measured.alias("measured"),
+        F.col("stdout").contains("wrote").alias("has_log"),
+    )
+
+
+@query(
+    "create_in_place",
+    """SELECT o_orderkey, o_orderstatus, 'sales' AS team, TRUE AS placed FROM orders""",
+)
+def create_in_place(spark, sf_dir):
+    """A database and a table made with a folder and properties of their own."""
+    place = scratch_path(spark, "made")
+    database = f"made_{uuid.uuid4().hex}"
+    for _ in range(2):
+        ensure_database(spark, database, f"{place}/db")
+    orders = _orders(spark, sf_dir).select("o_orderkey", "o_orderstatus")
+    name = f"{database}.orders"
+    create_table(
+        spark, name, orders.schema, properties={"team": "sales"}, location=f"{place}/orders"
+    )
+    write_table(orders, name)
+    _, folder = table_storage(spark, name)
+    return spark.table(name).withColumns(
+        {
+            "team": F.lit(table_properties(spark, name)["team"]),
+            "placed": F.lit(folder.endswith("/orders") and "made" in folder),
+        }
     )
 
 

@@ -43,7 +43,7 @@ def _parser() -> argparse.ArgumentParser:
         sub.add_argument("--include", help="comma-separated columns to keep")
         sub.add_argument("--exclude", help="comma-separated columns to leave out")
         sub.add_argument("--schema", help="file with a JSON schema")
-        sub.add_argument("--sample-rows", type=int, help="infer from the first rows only")
+        sub.add_argument("--sample-rows", type=int, help="infer from a random sample of about this many rows")
     load = commands.choices["load"]
     load.add_argument("--table", required=True)
     load.add_argument("--mode", choices=("append", "overwrite"), default="append")

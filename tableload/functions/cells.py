@@ -61,9 +61,14 @@ def cell_kind(cell: Column) -> Column:
         )
         .when(
             (size <= 20) & ~cell.contains(".") & cell.rlike(INTEGER_PATTERN),
-            F.when(cell.try_cast("bigint").isNotNull(), LONG).otherwise(DOUBLE),
+            F.when(cell.try_cast("bigint").isNotNull(), LONG).otherwise(TEXT),
+        )
+        # Whole numbers too long for bigint stay text: a double would merge neighbours.
+        .when(
+            (cell.contains(".") | cell.contains("e") | cell.contains("E"))
+            & cell.rlike(NUMBER_PATTERN),
+            DOUBLE,
         )
-        .when(cell.rlike(NUMBER_PATTERN), DOUBLE)
         .otherwise(TEXT)
     )
     return (

@@ -28,10 +28,6 @@ UNNAMED = "unnamed_column"
 NAME_PREFIX = "col_"
 
 # --- Fixed values: defaults ---
-INFER_SAMPLE_ROWS = 1000
-PROFILE_SAMPLE_ROWS = 10000
-MAX_CHUNK_BYTES = 700000
-MAX_CHUNK_ROWS = 500
 DRY_RUN_ROWS_PER_SECOND = 5000
 MIN_SCORE = 75
 TOP_COLUMNS = 5

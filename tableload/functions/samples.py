@@ -5,17 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .cells import column
-from .fixed import INFER_SAMPLE_ROWS
-
 
 def first_rows(df: DataFrame, rows: int) -> DataFrame:
-    """The first rows as read.
-
-    A limit inside a plan starts a task for every input split. A sample no larger than the
-    default is taken the way ``head`` does, from as few splits as hold it.
-    """
-    if rows <= INFER_SAMPLE_ROWS:
-        return df.sparkSession.createDataFrame(df.take(rows), df.schema)
+    """The first rows as read."""
     return df.limit(rows)
 
 

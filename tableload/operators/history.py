@@ -38,6 +38,7 @@ JOB_FIELDS = (
     "stdout",
     "stderr",
     "error",
+    "performance_metrics",
 )
 # One more than the largest sequence number.
 _SEQ_RANGE = Decimal(10**19)
@@ -187,10 +188,11 @@ def latest_jobs(
 def retained_jobs(
     states: DataFrame, now: Column, *, keep: int = KEEP_JOBS, days: int = KEEP_DAYS
 ) -> DataFrame:
-    """Jobs kept by retention: young enough, and among the newest ``keep``."""
+    """Jobs kept by retention: young enough, and among the newest ``keep``. A job whose creation
+    was never recorded is as old as its last update."""
     cutoff = now - F.make_dt_interval(F.lit(days))
-    young = states.where(F.col("created_at") >= cutoff)
-    return young.orderBy(F.desc("created_at"), F.asc("job_id")).limit(keep)
+    since = F.coalesce("created_at", "last_update")
+    return states.where(since >= cutoff).orderBy(since.desc(), F.asc("job_id")).limit(keep)
 
 
 def search_jobs(

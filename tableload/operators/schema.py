@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.cells import as_text, cell_kind, column, parse_cell, type_of_mask
 from ..functions.names import clean_name, clean_names
-from ..functions.samples import first_rows
+from ..functions.samples import random_sample
 from ..functions.typenames import declared_type, logical_type, sql_type, type_label
 
 _MASKS = range(64)
@@ -72,12 +72,12 @@ def inferred_columns(df: DataFrame) -> DataFrame:
 def infer_schema(df: DataFrame, sample_rows: int | None = None) -> T.StructType:
     """The narrowest type per column of an all-text frame.
 
-    Looks at every row unless ``sample_rows`` limits it to the head. One small row per column
-    reaches the driver.
+    Looks at every row unless ``sample_rows`` asks for a random sample of about that many, which
+    counts the rows but types only the sample. One small row per column reaches the driver.
     """
     if not df.columns:
         return T.StructType()
-    seen = df if sample_rows is None else first_rows(df, sample_rows)
+    seen = df if sample_rows is None else random_sample(df, sample_rows)
     masks = {r["field_id"]: r["mask"] for r in column_kinds(seen).collect()}
     return T.StructType(
         [
@@ -179,15 +179,51 @@ def apply_schema(
     return df.select(typed_columns(df, schema, enforce_required=enforce_required))
 
 
-def rejected_cells(df: DataFrame, schema: T.StructType) -> dict[str, Column]:
-    """Per column that can lose values, whether this row's cell fails to parse."""
+def _typed_with_losses(
+    df: DataFrame, schema: T.StructType, enforce_required: bool = False
+) -> tuple[DataFrame, list[Column]]:
+    """The typed frame with a flag per cell that held something, and the aggregates
+    ``rejected:<column>`` over it."""
     sources = _sources(df, schema)
-    return {
-        f.name: column(sources[f.name]).isNotNull()
-        & parse_cell(column(sources[f.name]), f.dataType).isNull()
+    losable = [
+        f.name
         for f in schema
         if sources[f.name] is not None and not isinstance(f.dataType, T.StringType)
-    }
+    ]
+    given = [column(sources[n]).isNotNull().alias(f"__given:{n}") for n in losable]
+    typed = df.select(*typed_columns(df, schema, enforce_required=enforce_required), *given)
+    lost = [
+        F.count_if(column(f"__given:{n}") & column(n).isNull()).alias(f"rejected:{n}")
+        for n in losable
+    ]
+    return typed, lost
+
+
+def load_counts(df: DataFrame, schema: T.StructType, *others: Column) -> DataFrame:
+    """One row on an all-text frame under a schema: ``total_rows``, ``rejected`` (cells lost per
+    column) and ``required_nulls`` (per required column), both without zeros; and other
+    aggregates of the typed columns."""
+    typed, lost = _typed_with_losses(df, schema)
+    required = [f.name for f in schema if not f.nullable]
+    nulls = [F.count_if(column(n).isNull()).alias(f"null:{n}") for n in required]
+    counted = typed.agg(F.count("*").alias("total_rows"), *lost, *nulls, *others)
+
+    def positive(prefix: str) -> Column:
+        pairs = [
+            part
+            for n in counted.columns
+            if n.startswith(prefix)
+            for part in (F.lit(n.removeprefix(prefix)), column(n))
+        ]
+        found = F.create_map(*pairs) if pairs else F.create_map()
+        return F.map_filter(found.cast("map<string,bigint>"), lambda _, n: n > 0)
+
+    kept = [c for c in counted.columns if not c.startswith(("rejected:", "null:"))]
+    return counted.select(
+        *[column(c) for c in kept],
+        positive("rejected:").alias("rejected"),
+        positive("null:").alias("required_nulls"),
+    )
 
 
 def apply_schema_observed(
@@ -199,25 +235,11 @@ def apply_schema_observed(
 ) -> DataFrame:
     """``apply_schema`` that counts rows and rejected cells per column as they stream past.
 
-    Metrics are ``rows``, ``batches`` (input partitions read) and ``rejected:<column>``. Cells are parsed once: the count compares
-    each typed value with whether its cell held anything.
+    Metrics are ``rows``, ``batches`` (input partitions read) and ``rejected:<column>``. Cells are
+    parsed once: the count compares each typed value with whether its cell held anything.
     """
-    sources = _sources(df, schema)
-    losable = [
-        f.name
-        for f in schema
-        if sources[f.name] is not None and not isinstance(f.dataType, T.StringType)
-    ]
-    given = [column(sources[n]).isNotNull().alias(f"__given:{n}") for n in losable]
-    typed = df.select(
-        *typed_columns(df, schema, enforce_required=enforce_required),
-        *given,
-        F.spark_partition_id().alias("__batch"),
-    )
-    lost = [
-        F.count_if(column(f"__given:{n}") & column(n).isNull()).alias(f"rejected:{n}")
-        for n in losable
-    ]
+    typed, lost = _typed_with_losses(df, schema, enforce_required)
+    typed = typed.withColumn("__batch", F.spark_partition_id())
     batches = F.coalesce(F.max("__batch") + 1, F.lit(0)).alias("batches")
     watched = typed.observe(observation, F.count(F.lit(1)).alias("rows"), batches, *lost)
     return watched.select([column(f.name) for f in schema])

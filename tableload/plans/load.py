@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import column
-from ..functions.fixed import DRY_RUN_ROWS_PER_SECOND, MAX_CHUNK_BYTES
+from ..functions.fixed import DRY_RUN_ROWS_PER_SECOND
 from ..functions.names import clean_name
 from ..operators.columns import clean_columns, select_columns, unknown_columns
 from ..operators.compat import compare_schemas, schema_verdict
@@ -24,6 +25,7 @@ from ..operators.schema import (
     create_table_sql,
     declared_schema,
     infer_schema,
+    load_counts,
     rejected_counts,
     schema_rows,
 )
@@ -34,9 +36,9 @@ from ..sinks.catalog import (
     table_rows,
     table_transforms,
 )
-from ..sinks.chunks import chunk_plan, statement_bytes
+from ..sinks.chunks import FILE_BYTES, file_sizing, row_bytes
 from ..sinks.table import write_table
-from ..sources.csv import Dialect, read_text
+from ..sources.csv import Dialect, input_bytes, read_text
 from .history import JobLog
 
 
@@ -161,10 +163,14 @@ def plan_load(
     mode: str = "append",
     replace_schema: bool = True,
     transforms: Sequence[Transform] = (),
-    max_chunk_bytes: int = MAX_CHUNK_BYTES,
+    file_bytes: int = FILE_BYTES,
     **prepare_options,
 ) -> DataFrame:
-    """Dry run: one row on what ``load_csv`` would do. Counts are exact, nothing is written."""
+    """Dry run: one row on what ``load_csv`` would do; nothing is written.
+
+    Rows, ``rejected`` cells and ``required_nulls`` (which would fail the load) per column and
+    the bytes of the values are exact; ``files`` is how many of about ``file_bytes`` hold them.
+    """
     name = resolve_table(spark, table)
     text, schema, _ = prepare(spark, path, **prepare_options)
     exists = table_exists(spark, name)
@@ -177,14 +183,19 @@ def plan_load(
         typed, transforms if creates else table_transforms(spark, name)
     )
     ddl = create_table_sql(quoted(name), laid_out.schema) if creates else None
-    base = statement_bytes(name, typed.columns)
-    return chunk_plan(typed, base_bytes=base, max_bytes=max_chunk_bytes).select(
+    size = F.coalesce(F.sum(row_bytes(typed)), F.lit(0)).alias("total_bytes")
+    rows = F.col("total_rows").cast("double")
+    per_file, files = file_sizing(rows, F.col("total_bytes"), file_bytes)
+    return load_counts(text, schema, size).select(
         F.lit(name).alias("table_name"),
         F.lit(mode).alias("mode"),
         F.lit(ddl).cast("string").alias("ddl"),
         "total_rows",
-        "rows_per_chunk",
-        F.col("chunks").alias("batches"),
+        "total_bytes",
+        per_file.alias("rows_per_file"),
+        files.alias("files"),
+        "rejected",
+        "required_nulls",
         (F.col("total_rows") / DRY_RUN_ROWS_PER_SECOND).alias("estimated_seconds"),
         F.lit(int(not exists)).alias("tables_created"),
         F.lit(int(exists)).alias("tables_modified"),
@@ -251,6 +262,7 @@ def load_csv(
             ).head()
             result.dry_run = report.asDict()
             result.rows_processed = report["total_rows"]
+            result.rejected = report["rejected"]
         else:
             if progress:
                 progress(0)
@@ -261,6 +273,7 @@ def load_csv(
             if table_exists(spark, name) and not rebuilds:
                 load_schema = fit_to_target(spark, load_schema, name)
             if job:
+                job.update(file_size=input_bytes(spark, path, path_glob=path_glob))
                 job.progress(1)
             watch = Observation(f"load-{uuid.uuid4().hex[:8]}")
             shape = Observation(f"shape-{uuid.uuid4().hex[:8]}")
@@ -288,5 +301,11 @@ def load_csv(
         result.log.append(f"failed: {error}")
     result.duration = time.monotonic() - began
     if job:
-        job.complete(result.success, rows_processed=result.rows_processed, error=result.error)
+        job.complete(
+            result.success,
+            rows_processed=result.rows_processed,
+            error=result.error,
+            stdout="\n".join(result.log),
+            performance_metrics=json.dumps(result.metrics),
+        )
     return result

@@ -1,4 +1,4 @@
-"""Size output chunks by bytes and rows."""
+"""Expected output files of a frame, by stored bytes."""
 
 from __future__ import annotations
 
@@ -7,59 +7,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import as_text, column
-from ..functions.fixed import MAX_CHUNK_BYTES, MAX_CHUNK_ROWS
 
+FILE_BYTES = 128 << 20
 
-def _literal_bytes(field: T.StructField) -> Column:
-    """Bytes of a value written as an SQL literal."""
-    value = as_text(column(field.name), field.dataType)
-    size = F.octet_length(value)
-    if isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
-        size = size + len("TIMESTAMP ''")
-    elif isinstance(field.dataType, T.DateType):
-        size = size + len("DATE ''")
-    elif not isinstance(field.dataType, (T.NumericType, T.BooleanType)):
-        quotes = F.char_length(value) - F.char_length(F.replace(value, F.lit("'")))
-        size = size + quotes + len("''")
-    return F.coalesce(size, F.lit(len("NULL")))
+_WIDTHS = {
+    T.BooleanType: 1,
+    T.ByteType: 1,
+    T.ShortType: 2,
+    T.IntegerType: 4,
+    T.FloatType: 4,
+    T.DateType: 4,
+    T.LongType: 8,
+    T.DoubleType: 8,
+    T.TimestampType: 8,
+    T.TimestampNTZType: 8,
+}
+
+
+def _cell_bytes(field: T.StructField) -> Column:
+    cell = column(field.name)
+    width = _WIDTHS.get(type(field.dataType))
+    size = F.octet_length(as_text(cell, field.dataType)) if width is None else F.lit(width)
+    return F.when(cell.isNotNull(), size).otherwise(0)
 
 
 def row_bytes(df: DataFrame) -> Column:
-    """Bytes of a row written as a parenthesised list of literals."""
-    fields = list(df.schema)
-    total = F.lit(2 * max(len(fields) - 1, 0) + 2)
-    for f in fields:
-        total = total + _literal_bytes(f)
-    return total.cast("bigint")
+    """Bytes of a row's values before encoding and compression; nulls take none."""
+    total = F.lit(0).cast("bigint")
+    for f in df.schema:
+        total = total + _cell_bytes(f)
+    return total
 
 
-def statement_bytes(table: str, columns: list[str]) -> int:
-    """Bytes of the insert statement around the rows."""
-    names = ", ".join(f'"{c}"' for c in columns)
-    return len(f"INSERT INTO {table} ({names}) VALUES ".encode())
+def file_sizing(rows: Column, size: Column, max_bytes: int = FILE_BYTES) -> list[Column]:
+    """``rows_per_chunk`` (what to pass as ``max_records_per_file``) and ``chunks``, so that no
+    file holds more than about ``max_bytes``; null and 0 without rows."""
+    fitting = F.greatest(F.lit(1), F.floor(F.lit(max_bytes) * rows / size))
+    per_file = F.when(rows == 0, None).when(size == 0, rows).otherwise(fitting).cast("bigint")
+    return [
+        per_file.alias("rows_per_chunk"),
+        F.coalesce(F.ceil(rows / per_file), F.lit(0)).cast("bigint").alias("chunks"),
+    ]
 
 
-def chunk_plan(
-    df: DataFrame,
-    *,
-    base_bytes: int = 0,
-    max_bytes: int = MAX_CHUNK_BYTES,
-    max_rows: int = MAX_CHUNK_ROWS,
-) -> DataFrame:
-    """One row: total rows and bytes, rows per chunk under both limits, and chunks needed.
+def chunk_plan(df: DataFrame, *, max_bytes: int = FILE_BYTES) -> DataFrame:
+    """One row: total rows and bytes, rows per file of at most ``max_bytes``, and files needed.
 
-    ``rows_per_chunk`` is what to pass as ``max_records_per_file``. Integer sums keep the result
-    independent of how the input is split.
+    Integer sums keep the result independent of how the input is split. Files are written
+    smaller than this, as formats encode and compress.
     """
     totals = df.agg(
         F.count("*").alias("total_rows"),
         F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("total_bytes"),
     )
-    average = F.col("total_bytes") / F.col("total_rows")
-    fitting = F.floor((F.lit(max_bytes - base_bytes)) / (average + 2)).cast("bigint")
-    per_chunk = F.when(F.col("total_rows") == 0, F.lit(max_rows)).otherwise(
-        F.greatest(F.lit(1), F.least(fitting, F.lit(max_rows)))
-    )
-    sized = totals.withColumn("rows_per_chunk", per_chunk.cast("bigint"))
-    chunks = F.ceil(F.col("total_rows") / F.col("rows_per_chunk")).cast("bigint")
-    return sized.withColumn("chunks", chunks)
+    rows, size = F.col("total_rows").cast("double"), F.col("total_bytes")
+    return totals.select("*", *file_sizing(rows, size, max_bytes))

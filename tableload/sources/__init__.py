@@ -1,12 +1,12 @@
 """Delimited text sources."""
 
-from .csv import Dialect, read_text, row_count
+from .csv import Dialect, input_bytes, read_text
 from .structure import field_counts, structure_report
 
 __all__ = [
     "Dialect",
     "field_counts",
     "read_text",
-    "row_count",
+    "input_bytes",
     "structure_report",
 ]

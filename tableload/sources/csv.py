@@ -133,6 +133,11 @@ def read_text(
     return marked.select(*cells, ragged.alias(ragged_flag))
 
 
-def row_count(df: DataFrame) -> int:
-    """Parsed rows; quoted newlines do not inflate it."""
-    return df.count()
+def input_bytes(
+    spark: SparkSession, path: str | list[str], *, path_glob: str | None = None
+) -> int:
+    """Size of all input files, from their listing; no file is opened."""
+    reader = spark.read.format("binaryFile")
+    if path_glob:
+        reader = reader.option("pathGlobFilter", path_glob)
+    return reader.load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).head()[0]

@@ -36,7 +36,7 @@ from tableload.sinks.catalog import (
     table_location,
     table_transforms,
 )
-from tableload.sinks.chunks import chunk_plan, statement_bytes
+from tableload.sinks.chunks import chunk_plan
 from tableload.sinks.table import file_stats
 from tableload.operators.schema import infer_schema
 
@@ -269,19 +269,13 @@ def test_chunk_plan(spark, db):
         [(1, "it's", None, True, datetime.date(2024, 1, 2), datetime.datetime(2024, 1, 2, 3))],
         "a int, b string, c string, d boolean, e date, f timestamp_ntz",
     )
-    text = "(1, 'it''s', NULL, true, DATE '2024-01-02', TIMESTAMP '2024-01-02 03:00:00')"
-    plan = chunk_plan(df).head()
-    assert (plan["total_rows"], plan["total_bytes"]) == (1, len(text))
-    assert (plan["rows_per_chunk"], plan["chunks"]) == (500, 1)
+    assert tuple(chunk_plan(df, max_bytes=100).head()) == (1, 4 + 4 + 1 + 4 + 8, 4, 1)
     many = spark.range(1200)
-    assert tuple(chunk_plan(many).head())[2:] == (500, 3)
-    average = sum(len(f"({i})") for i in range(1200)) / 1200
-    fitting = int(50 / (average + 2))
-    tight = chunk_plan(many, max_bytes=50).head()
-    assert (tight["rows_per_chunk"], tight["chunks"]) == (fitting, -(-1200 // fitting))
-    assert chunk_plan(many, max_bytes=1).head()["rows_per_chunk"] == 1
-    assert tuple(chunk_plan(many.limit(0)).head()) == (0, 0, 500, 0)
-    assert statement_bytes("c.s.t", ["a", "b"]) == len('INSERT INTO c.s.t ("a", "b") VALUES ')
+    assert tuple(chunk_plan(many, max_bytes=80).head()) == (1200, 9600, 10, 120)
+    assert tuple(chunk_plan(many, max_bytes=1).head())[2:] == (1, 1200)
+    assert tuple(chunk_plan(many.limit(0)).head()) == (0, 0, None, 0)
+    nulls = spark.range(3).select(F.lit(None).cast("string").alias("c"))
+    assert tuple(chunk_plan(nulls).head()) == (3, 0, 3, 1)
 
 
 def test_max_records_per_file(spark, db):
@@ -296,7 +290,8 @@ def test_dry_run_writes_nothing(spark, db, write_file):
     assert not table_exists(spark, f"{db}.t")
     report = result.dry_run
     assert report["total_rows"] == result.rows_processed == 1200
-    assert (report["rows_per_chunk"], report["batches"]) == (500, 3)
+    assert (report["total_bytes"], report["files"]) == (1200 * 12, 1)
+    assert (report["rejected"], report["required_nulls"]) == ({}, {})
     assert report["estimated_seconds"] == 1200 / 5000
     assert (report["tables_created"], report["tables_modified"]) == (1, 0)
     assert "`day` DATE" in report["ddl"]
@@ -352,6 +347,8 @@ def test_load_is_recorded(spark, db, write_file):
         "append",
     )
     assert one.started_at >= one.created_at and one.duration >= 0
+    assert int(one.file_size) == len("id\n1\n2\n") and "wrote 2 rows" in one.stdout
+    assert '"total_rows": 2' in one.performance_metrics
     assert two.status == "failed" and "mode must be" in two.error
     assert load_history(spark, f"{db}.none").count() == 0
 
@@ -436,15 +433,16 @@ def test_retention_rewrites_the_table(spark, db):
         for i in range(60)
     ]
     rows.append(("test_x", now, 0, "create", {"status": "pending"}))
+    rows.append(("bare", now - datetime.timedelta(days=3), 0, "progress", {"progress": "5"}))
     write_table(spark.createDataFrame(rows, UPDATE_SCHEMA), table)
     states = job_states(load_history(spark, table))
     assert [r.job_id for r in latest_jobs(states, limit=2).collect()] == ["j000", "j001"]
     assert latest_jobs(states, limit=1, include_test=True).head().job_id == "j000"
     apply_retention(spark, table, F.lit("2024-03-01").cast("timestamp_ntz"), keep=20)
     left = {r.job_id for r in load_history(spark, table).collect()}
-    assert left == {f"j{i:03}" for i in range(19)} | {"test_x"}
+    assert left == {f"j{i:03}" for i in range(18)} | {"test_x", "bare"}
     apply_retention(spark, table, F.lit("2024-03-01").cast("timestamp_ntz"), days=5)
-    assert load_history(spark, table).count() == 7
+    assert load_history(spark, table).count() == 8
 
 
 def test_job_log(spark, db):

@@ -29,8 +29,8 @@ KINDS = {
     "-0": "bigint",
     "0012": "bigint",
     "9223372036854775807": "bigint",
-    "9223372036854775808": "double",
-    "12345678901234567890": "double",
+    "9223372036854775808": "string",
+    "12345678901234567890": "string",
     "1.5": "double",
     ".5": "double",
     "5.": "double",
