@@ -33,6 +33,7 @@ from tableload import (  # noqa: E402
     plan_load,
     profile,
     profile_approx,
+    profile_exact,
     read_text,
     structure_report,
     write_table,
@@ -74,7 +75,7 @@ def operations(spark, sf_dir):
         "csv_scan_typed": (n, lambda: _noop(apply_schema(text, schema))),
         "infer_schema": (n, lambda: infer_schema(text)),
         "infer_schema_sample": (1000, lambda: infer_schema(text, sample_rows=1000)),
-        "profile": (n, lambda: profile(lineitem).collect()),
+        "profile": (n, lambda: profile_exact(lineitem).collect()),
         "profile_sketched": (n, lambda: profile_approx(lineitem).collect()),
         "advise_csv": (
             m,
