@@ -106,6 +106,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """The frame as one more file of delimited text in a folder."""
+    text_columns(df).coalesce(1).write.mode("append").options(header="true", escape='"').csv(path)
+
+
 def write_csv(
     df: DataFrame, name: str, dialect: Dialect = Dialect(), *, extension: str = "csv"
 ) -> str:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tableload.operators.layout import Transform
 from tableload.session import scratch_database, scratch_path
 from tableload.streaming.ingest import ingest_dir, read_ingested
-from tableload.streaming.job_states import follow_job_states, followed_states
+from tableload.streaming.job_states import (
+    follow_job_states,
+    followed_states,
+    merge_job_states,
+)
 
 from .history import LATEST_SQL, STATE_FIELDS, updates
-from .registry import query, table, write_csv
+from .registry import append_csv, query, table, write_csv
 
 _ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 
@@ -33,8 +39,38 @@ def stream_ingest_partitioned(spark, sf_dir):
     return read_ingested(spark, target)
 
 
+@query(
+    "stream_ingest_compacted",
+    f"""SELECT {_ORDERS}, 3 AS partitions FROM orders""",
+)
+def stream_ingest_compacted(spark, sf_dir):
+    """Twelve batches end as two merges, of seven and of four, and the newest batch."""
+    orders = table(spark, sf_dir, "orders").withColumn("file", F.pmod("o_orderkey", F.lit(12)))
+    target, checkpoint = f"{scratch_database(spark)}.orders", scratch_path(spark, "checkpoint")
+    path = scratch_path(spark, "orders")
+    for low, high in ((0, 7), (8, 11)):
+        some = orders.where(F.col("file").between(low, high))
+        for file in range(low, high + 1):
+            append_csv(some.where(F.col("file") == file).drop("file"), path)
+        ingest_dir(spark, path, target, checkpoint, max_files_per_batch=1, merge_keep=1)
+    partitions = spark.sql(f"SHOW PARTITIONS {target}").count()
+    return read_ingested(spark, target).withColumn("partitions", F.lit(partitions))
+
+
+@query("stream_job_state_merged", LATEST_SQL)
+def stream_job_state_merged(spark, sf_dir):
+    target = _followed(spark, sf_dir)
+    merge_job_states(spark, target)
+    return followed_states(spark, target)
+
+
 @query("stream_job_state", LATEST_SQL)
 def stream_job_state(spark, sf_dir):
+    return followed_states(spark, _followed(spark, sf_dir))
+
+
+def _followed(spark, sf_dir):
+    """Events as a stream of job updates, folded in three batches; returns the log's name."""
     events = table(spark, sf_dir, "events")
     folder = scratch_path(spark, "events")
     events.repartition(3, "event_id").write.parquet(folder)
@@ -45,4 +81,4 @@ def stream_job_state(spark, sf_dir):
     follow_job_states(
         updates(log), target, scratch_path(spark, "checkpoint"), fields=STATE_FIELDS
     )
-    return followed_states(spark, target)
+    return target

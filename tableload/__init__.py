@@ -19,7 +19,9 @@ from .plans.load import IncompatibleSchema, LoadResult, load_csv, plan_load
 from .sinks.table import read_table, write_table
 from .sources.csv import Dialect, read_text
 from .sources.structure import structure_report
+from .streaming.compaction import merge_batches
 from .streaming.ingest import ingest_dir, read_ingested
+from .streaming.job_states import follow_job_states, followed_states, merge_job_states
 
 __all__ = [
     "Dialect",
@@ -34,6 +36,8 @@ __all__ = [
     "compare_schemas",
     "declared_schema",
     "edit_schema",
+    "follow_job_states",
+    "followed_states",
     "infer_schema",
     "inferred_columns",
     "ingest_dir",
@@ -41,6 +45,8 @@ __all__ = [
     "latest_jobs",
     "load_csv",
     "load_history",
+    "merge_batches",
+    "merge_job_states",
     "parse_transform",
     "plan_load",
     "present",

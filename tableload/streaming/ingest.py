@@ -12,16 +12,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import column, null_tokens
-from ..operators.layout import Transform, add_partition_columns, spread_by_partition
-from ..operators.schema import apply_schema, apply_schema_observed, rejected_counts
+from ..operators.layout import (
+    Transform,
+    add_partition_columns,
+    drop_partition_columns,
+    spread_by_partition,
+)
+from ..operators.schema import (
+    apply_schema,
+    apply_schema_observed,
+    rejected_counts,
+    rounded_counts,
+)
 from ..plans.load import prepare
 from ..session import path_exists
-from ..sinks.catalog import create_table, quoted, resolve_table, table_exists
-from ..sinks.table import read_table
+from ..sinks.catalog import create_table, quoted, resolve_table, table_exists, table_transforms
 from ..sources.csv import INPUT_GLOB, Dialect, header_names, text_schema
-
-# Every row carries the micro-batch that wrote it; replaying a batch replaces its own rows.
-BATCH_COLUMN = "load_batch"
+from .compaction import BATCH_COLUMN, live_rows, merge_batches
 
 
 @dataclass
@@ -31,6 +38,8 @@ class IngestResult:
     rows: int = 0
     batches: int = 0
     rejected: dict[str, int] = field(default_factory=dict)
+    rounded: dict[str, int] = field(default_factory=dict)
+    merged: int = 0
 
 
 def _stored_schema(spark: SparkSession, path: str) -> tuple[list[str], T.StructType, bool] | None:
@@ -97,6 +106,7 @@ def ingest_dir(
     sample_rows: int | None = None,
     transforms: Sequence[Transform] = (),
     max_files_per_batch: int | None = None,
+    merge_keep: int | None = None,
     on_batch: Callable[[IngestResult], None] | None = None,
 ) -> IngestResult:
     """Load every file the checkpoint has not seen yet, then stop.
@@ -104,7 +114,9 @@ def ingest_dir(
     Restarting after a failure neither loses nor repeats rows. The first run fixes the schema;
     later cells that do not fit it become null and are counted. A file with another header and a
     null in a required column fail the run; nothing of that micro-batch is stored. ``on_batch``
-    sees the running totals after every micro-batch.
+    sees the running totals after every micro-batch. With ``merge_keep`` the run ends by merging
+    the partitions of all batches but the newest ``merge_keep``; read such a table through
+    ``read_ingested``.
     """
     name = resolve_table(spark, table)
     names, load_schema, checked = _agreed_schema(
@@ -140,6 +152,8 @@ def ingest_dir(
         result.batches += 1
         for key, lost in rejected_counts(watch.get).items():
             result.rejected[key] = result.rejected.get(key, 0) + lost
+        for key, lost in rounded_counts(watch.get).items():
+            result.rounded[key] = result.rounded.get(key, 0) + lost
         if on_batch:
             on_batch(result)
 
@@ -150,9 +164,12 @@ def ingest_dir(
         .start()
         .awaitTermination()
     )
+    if merge_keep:
+        result.merged = merge_batches(spark, name, keep=merge_keep)
     return result
 
 
 def read_ingested(spark: SparkSession, table: str) -> DataFrame:
-    """An ingest table's data columns."""
-    return read_table(spark, table).drop(BATCH_COLUMN)
+    """An ingest table's data columns, whether its batches are merged or not."""
+    transforms = table_transforms(spark, resolve_table(spark, table))
+    return drop_partition_columns(live_rows(spark, table), transforms).drop(BATCH_COLUMN)

@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from ..operators.history import JOB_FIELDS, latest_fields
 from ..operators.layout import Transform
-from ..sinks.catalog import create_table, quoted, resolve_table, table_exists
-from .ingest import BATCH_COLUMN, replace_batch
+from ..sinks.catalog import create_table, resolve_table, table_exists
+from .compaction import BATCH_COLUMN, live_rows, merge_batches, merged_batch
+from .ingest import replace_batch
 
 
 def follow_job_states(
@@ -43,9 +44,19 @@ def follow_job_states(
 
 def followed_states(spark: SparkSession, table: str) -> DataFrame:
     """The newest state per job from the log."""
-    log = spark.table(quoted(resolve_table(spark, table)))
+    return _newest(live_rows(spark, table))
+
+
+def merge_job_states(spark: SparkSession, table: str, *, keep: int = 1) -> int:
+    """Shorten the log to one row per job, but for the newest ``keep`` batches; returns how many
+    batches were merged. Reading then costs by jobs and recent batches, not by all updates."""
+    return merge_batches(spark, table, keep=keep, fold=_newest)
+
+
+def _newest(log: DataFrame) -> DataFrame:
+    """One row per job; a merge is as new as the last batch in it."""
     names = [c for c in log.columns if c not in ("job_id", BATCH_COLUMN)]
-    newest = log.groupBy("job_id").agg(
-        F.max_by(F.struct(*names), BATCH_COLUMN).alias("state")
-    )
+    batch = F.col(BATCH_COLUMN)
+    age = F.when(batch < 0, merged_batch(batch)).otherwise(batch)
+    newest = log.groupBy("job_id").agg(F.max_by(F.struct(*names), age).alias("state"))
     return newest.select("job_id", "state.*")
