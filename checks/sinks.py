@@ -277,6 +277,27 @@ def load_stats(spark, sf_dir):
     )
 
 
+@query(
+    "load_rounded_decimals",
+    """SELECT count(*) AS "rows", count(*) FILTER (length(rtrim(p_partkey::VARCHAR, '0')) > 2)
+                AS rounded, count(*) FILTER (p_size = 0) AS whole FROM part""",
+)
+def load_rounded_decimals(spark, sf_dir):
+    """Cells of a declared decimal with more than its ten places are counted."""
+    number = F.concat("p_size", F.lit(".00000000"), "p_partkey").alias("size")
+    path = write_csv(table(spark, sf_dir, "part").select("p_partkey", number), "part")
+    schema = """[{"name": "p_partkey", "type": "Long"}, {"name": "size", "type": "Decimal"}]"""
+    target = _target(spark)
+    result = load_csv(spark, path, target, schema=schema)
+    if not result.success or result.rejected:
+        raise RuntimeError(result.error or str(result.rejected))
+    return spark.table(target).agg(
+        F.count("*").alias("rows"),
+        F.lit(result.rounded.get("size", 0)).cast("bigint").alias("rounded"),
+        F.count_if(F.col("size") == 0).alias("whole"),
+    )
+
+
 @query(
     "load_ragged",
     """SELECT count(*) AS "rows", count(*) FILTER (p_partkey % 5 = 3) AS filled_rows,

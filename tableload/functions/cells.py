@@ -23,6 +23,7 @@ from .fixed import (
 # One bit per kind of cell, so that a column's kinds combine with bit_or.
 BOOLEAN, LONG, DOUBLE, DATE, TIMESTAMP, TEXT = 1, 2, 4, 8, 16, 32
 
+_NUMBER_PARTS = r"^[+-]?([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?\z"
 _NUMERIC_START = tuple("+-.0123456789")
 _BOOLEAN_START = tuple("tTfF")
 
@@ -116,6 +117,17 @@ def parse_cell(cell: Column, data_type: T.DataType) -> Column:
     raise ValueError(f"a CSV cell cannot be read as {data_type.simpleString()}")
 
 
+def loses_digits(cell: Column, scale: int) -> Column:
+    """Whether a number in text has digits other than zero beyond ``scale`` decimal places, so
+    that a decimal of that scale rounds it. Null for a null cell."""
+    whole, part, power = (F.regexp_extract(cell, _NUMBER_PARTS, i) for i in (1, 2, 3))
+    digits = F.concat(whole, part)
+    zeros = F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
+    exponent = F.coalesce(power.try_cast("int"), F.lit(0))
+    places = F.length(part) - zeros - exponent
+    return digits.rlike("[1-9]") & (places > scale)
+
+
 def zoneless_micros(ts: Column) -> Column:
     """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
     whole = F.unix_date(ts.cast("date")).cast("bigint") * 86_400_000_000

@@ -9,7 +9,14 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cells import as_text, cell_kind, column, parse_cell, type_of_mask
+from ..functions.cells import (
+    as_text,
+    cell_kind,
+    column,
+    loses_digits,
+    parse_cell,
+    type_of_mask,
+)
 from ..functions.names import clean_name, clean_names
 from ..functions.samples import random_sample
 from ..functions.typenames import declared_type, logical_type, sql_type, type_label
@@ -182,8 +189,8 @@ def apply_schema(
 def _typed_with_losses(
     df: DataFrame, schema: T.StructType, enforce_required: bool = False
 ) -> tuple[DataFrame, list[Column]]:
-    """The typed frame with a flag per cell that held something, and the aggregates
-    ``rejected:<column>`` over it."""
+    """The typed frame with a flag per cell that held something and per decimal cell that lost
+    digits, and the aggregates ``rejected:<column>`` and ``rounded:<column>`` over it."""
     sources = _sources(df, schema)
     losable = [
         f.name
@@ -191,18 +198,31 @@ def _typed_with_losses(
         if sources[f.name] is not None and not isinstance(f.dataType, T.StringType)
     ]
     given = [column(sources[n]).isNotNull().alias(f"__given:{n}") for n in losable]
-    typed = df.select(*typed_columns(df, schema, enforce_required=enforce_required), *given)
+    decimals = {
+        f.name: f.dataType.scale
+        for f in schema
+        if f.name in losable and isinstance(f.dataType, T.DecimalType)
+    }
+    cut = [
+        loses_digits(column(sources[n]), scale).alias(f"__rounded:{n}")
+        for n, scale in decimals.items()
+    ]
+    typed = df.select(*typed_columns(df, schema, enforce_required=enforce_required), *given, *cut)
     lost = [
         F.count_if(column(f"__given:{n}") & column(n).isNull()).alias(f"rejected:{n}")
         for n in losable
     ]
+    lost += [
+        F.count_if(column(f"__rounded:{n}") & column(n).isNotNull()).alias(f"rounded:{n}")
+        for n in decimals
+    ]
     return typed, lost
 
 
 def load_counts(df: DataFrame, schema: T.StructType, *others: Column) -> DataFrame:
     """One row on an all-text frame under a schema: ``total_rows``, ``rejected`` (cells lost per
-    column) and ``required_nulls`` (per required column), both without zeros; and other
-    aggregates of the typed columns."""
+    column), ``rounded`` (decimals that lose digits) and ``required_nulls`` (per required column),
+    without zeros; and other aggregates of the typed columns."""
     typed, lost = _typed_with_losses(df, schema)
     required = [f.name for f in schema if not f.nullable]
     nulls = [F.count_if(column(n).isNull()).alias(f"null:{n}") for n in required]
@@ -218,10 +238,11 @@ def load_counts(df: DataFrame, schema: T.StructType, *others: Column) -> DataFra
         found = F.create_map(*pairs) if pairs else F.create_map()
         return F.map_filter(found.cast("map<string,bigint>"), lambda _, n: n > 0)
 
-    kept = [c for c in counted.columns if not c.startswith(("rejected:", "null:"))]
+    kept = [c for c in counted.columns if not c.startswith(("rejected:", "rounded:", "null:"))]
     return counted.select(
         *[column(c) for c in kept],
         positive("rejected:").alias("rejected"),
+        positive("rounded:").alias("rounded"),
         positive("null:").alias("required_nulls"),
     )
 
@@ -235,8 +256,8 @@ def apply_schema_observed(
 ) -> DataFrame:
     """``apply_schema`` that counts rows and rejected cells per column as they stream past.
 
-    Metrics are ``rows``, ``batches`` (input partitions read) and ``rejected:<column>``. Cells are
-    parsed once: the count compares each typed value with whether its cell held anything.
+    Metrics are ``rows``, ``batches`` (input partitions read), ``rejected:<column>`` and, of
+    decimal columns, ``rounded:<column>``. Cells are parsed once: the count compares each typed value with whether its cell held anything.
     """
     typed, lost = _typed_with_losses(df, schema, enforce_required)
     typed = typed.withColumn("__batch", F.spark_partition_id())
@@ -247,7 +268,15 @@ def apply_schema_observed(
 
 def rejected_counts(metrics: dict) -> dict[str, int]:
     """Columns that lost cells, from observed metrics."""
-    prefix = "rejected:"
+    return _counts(metrics, "rejected:")
+
+
+def rounded_counts(metrics: dict) -> dict[str, int]:
+    """Decimal columns whose cells lost digits, from observed metrics."""
+    return _counts(metrics, "rounded:")
+
+
+def _counts(metrics: dict, prefix: str) -> dict[str, int]:
     return {
         k.removeprefix(prefix): v for k, v in metrics.items() if k.startswith(prefix) and v
     }

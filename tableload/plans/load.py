@@ -27,6 +27,7 @@ from ..operators.schema import (
     infer_schema,
     load_counts,
     rejected_counts,
+    rounded_counts,
     schema_rows,
 )
 from ..sinks.catalog import (
@@ -45,7 +46,8 @@ from .history import JobLog
 @dataclass
 class LoadResult:
     """What a load did. ``ragged`` counts rows with too many fields, which lost the surplus, or
-    too few, which end in nulls."""
+    too few, which end in nulls; ``rounded`` counts cells per declared decimal column that were
+    stored with fewer digits than given."""
 
     table_name: str
     success: bool = False
@@ -54,6 +56,7 @@ class LoadResult:
     duration: float = 0.0
     error: str | None = None
     rejected: dict[str, int] = field(default_factory=dict)
+    rounded: dict[str, int] = field(default_factory=dict)
     ragged: int = 0
     ignored_columns: list[str] = field(default_factory=list)
     log: list[str] = field(default_factory=list)
@@ -168,8 +171,8 @@ def plan_load(
 ) -> DataFrame:
     """Dry run: one row on what ``load_csv`` would do; nothing is written.
 
-    Rows, ``rejected`` cells and ``required_nulls`` (which would fail the load) per column and
-    the bytes of the values are exact; ``files`` is how many of about ``file_bytes`` hold them.
+    Rows, ``rejected`` and ``rounded`` cells and ``required_nulls`` (which would fail the load)
+    per column and the bytes of the values are exact; ``files`` is how many of about ``file_bytes`` hold them.
     """
     name = resolve_table(spark, table)
     text, schema, _ = prepare(spark, path, **prepare_options)
@@ -195,6 +198,7 @@ def plan_load(
         per_file.alias("rows_per_file"),
         files.alias("files"),
         "rejected",
+        "rounded",
         "required_nulls",
         (F.col("total_rows") / DRY_RUN_ROWS_PER_SECOND).alias("estimated_seconds"),
         F.lit(int(not exists)).alias("tables_created"),
@@ -263,6 +267,7 @@ def load_csv(
             result.dry_run = report.asDict()
             result.rows_processed = report["total_rows"]
             result.rejected = report["rejected"]
+            result.rounded = report["rounded"]
         else:
             if progress:
                 progress(0)
@@ -291,6 +296,7 @@ def load_csv(
             result.rows_processed = watch.get["rows"]
             result.batches = watch.get["batches"]
             result.rejected = rejected_counts(watch.get)
+            result.rounded = rounded_counts(watch.get)
             result.ragged = shape.get["ragged"]
             result.log.append(f"wrote {result.rows_processed} rows")
             if progress:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tableload import Dialect, infer_schema, read_text, select_columns, structure_report
+from tableload.functions.cells import column, loses_digits
 from tableload.functions.fixed import NULL_TOKENS
 from tableload.functions.names import clean_name, clean_name_col, clean_names, unique_names
 from tableload.functions.samples import first_rows, random_sample
@@ -188,3 +189,14 @@ def test_late_misfit_is_null_and_row_kept(spark, write_file):
     typed = apply_schema(text, sampled)
     assert (typed.count(), typed.where("n is null").count()) == (1001, 1)
     assert infer_schema(text)["n"].dataType.simpleString() == "string"
+
+
+def test_digits_beyond_the_scale(spark):
+    texts = {
+        "1.25": False, "1.250": False, "1.251": True, "-0.001": True, "100e-2": False, ".5e-1": False,
+        "5e-3": True, "1.2345E2": False, "1.2345e+1": True, "0.000": False, "0e-9": False, "12": False,
+        "x": False, None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", loses_digits(column("t"), 2).alias("lost")).collect()
+    assert {r.t: r.lost for r in got} == texts
