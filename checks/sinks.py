@@ -338,6 +338,22 @@ def load_progress(spark, sf_dir):
     return spark.createDataFrame(told, "percent int, rows bigint")
 
 
+@query(
+    "load_progress_steps",
+    """SELECT 0 AS first, 100 AS last, TRUE AS rising, count(*) AS "rows" FROM orders""",
+)
+def load_progress_steps(spark, sf_dir):
+    seen = []
+    path = write_csv(_orders(spark, sf_dir).repartition(8), "orders")
+    result = load_csv(
+        spark, path, _target(spark), transforms=[Transform("o_orderdate", "year")],
+        progress=seen.append, progress_seconds=0.02,
+    )
+    rising = all(a < b for a, b in zip(seen, seen[1:]))
+    told = [(seen[0], seen[-1], rising, result.rows_processed)]
+    return spark.createDataFrame(told, "first int, last int, rising boolean, rows bigint")
+
+
 @query(
     "load_history_record",
     """SELECT 'completed' AS status, 100 AS progress, 'append' AS mode,

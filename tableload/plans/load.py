@@ -6,6 +6,7 @@ import json
 import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -41,6 +42,7 @@ from ..sinks.chunks import FILE_BYTES, file_sizing, row_bytes
 from ..sinks.table import write_table
 from ..sources.csv import Dialect, input_bytes, read_text
 from .history import JobLog
+from .progress import task_progress
 
 
 @dataclass
@@ -226,6 +228,7 @@ def load_csv(
     history_table: str | None = None,
     job_id: str | None = None,
     progress: Callable[[int], None] | None = None,
+    progress_seconds: float | None = None,
 ) -> LoadResult:
     """Read, infer or apply a schema, check it against the table, lay out and write.
 
@@ -233,7 +236,8 @@ def load_csv(
     ``sample_rows`` saves that scan, and cells the sample misjudged show up in ``rejected``.
     A folder whose files differ in their headers, and quoted cells with newlines read without
     ``multiline``, fail the load before it commits. Failures are reported in the result, not
-    raised.
+    raised. ``progress`` is told 0 and 100, and with ``progress_seconds`` as often the share of
+    the write's tasks that are done, from another thread.
     """
     began = time.monotonic()
     result = LoadResult(table_name=table)
@@ -284,15 +288,17 @@ def load_csv(
             shape = Observation(f"shape-{uuid.uuid4().hex[:8]}")
             text = text.observe(shape, F.count_if(F.col(_RAGGED)).alias("ragged")).drop(_RAGGED)
             typed = apply_schema_observed(text, load_schema, watch, enforce_required=True)
-            write_table(
-                typed,
-                name,
-                mode=mode,
-                transforms=transforms,
-                replace_schema=replace_schema,
-                max_records_per_file=max_records_per_file,
-                using=using,
-            )
+            telling = progress and progress_seconds
+            with task_progress(spark, progress, progress_seconds) if telling else nullcontext():
+                write_table(
+                    typed,
+                    name,
+                    mode=mode,
+                    transforms=transforms,
+                    replace_schema=replace_schema,
+                    max_records_per_file=max_records_per_file,
+                    using=using,
+                )
             result.rows_processed = watch.get["rows"]
             result.batches = watch.get["batches"]
             result.rejected = rejected_counts(watch.get)

@@ -26,6 +26,7 @@ from tableload import (
 )
 from tableload.operators.history import UPDATE_SCHEMA, job_progress, latest_fields
 from tableload.plans.load import fit_to_target
+from tableload.plans.progress import task_progress
 from tableload.session import scratch_database, scratch_path, scratch_root
 from tableload.sinks.catalog import (
     create_table,
@@ -457,3 +458,18 @@ def test_job_log(spark, db):
         "5",
         True,
     )
+
+
+def test_progress_between_start_and_end(spark):
+    seen = []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", "mine")
+    try:
+        with task_progress(spark, seen.append, 0.005):
+            for _ in range(2):
+                spark.range(0, 400_000, 1, 200).repartition(3).write.format("noop").mode(
+                    "overwrite"
+                ).save()
+        assert seen and seen == sorted(set(seen)) and 0 < seen[0] and seen[-1] <= 99
+        assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == "mine"
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
