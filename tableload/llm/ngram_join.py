@@ -21,6 +21,9 @@ FREQUENT = 64  # occurrences above a bucket's expected load that make its shingl
 GROUP = 16  # size band / GROUP classes of frequent shingles
 MET_KEPT = 64  # shingles met elsewhere that a wide set carries along for the bound
 VERIFY_ROWS = 1024  # partners verified beside one copy of a hub's shingles
+BLOCK_SETS = 512  # sets of a component compared at once with as many others
+BLOCK_SHINGLES = 1 << 18  # shingles that such a block holds on average at most
+_COLUMNS = 4096
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORDS_KEPT = 1 << 18
@@ -394,21 +397,173 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
     return staged(dealt.mapInArrow(verify, "a long, b long").distinct(), "links")
 
 
+def linked_pairs(sets: list[np.ndarray], split: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the sets that link: of the first ``split`` with the others, or, when
+    there are no others, among themselves with i < j. Shared shingles are counted as products
+    of 0/1 matrices of a bounded number of columns; counts stay exact in float32."""
+    sizes = np.array([len(x) for x in sets])
+    alone = split == len(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    met = times > 1  # shingles of one set alone are shared by none
+    kept = met[number]
+    owner, number = owner[kept], (np.cumsum(met) - 1)[number[kept]]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    right = slice(0, split) if alone else slice(split, len(sets))
+    both = np.zeros((split, len(sizes[right])), dtype=np.float32)
+    for low in range(0, int(met.sum()), _COLUMNS):
+        a, b = np.searchsorted(number, [low, low + _COLUMNS])
+        held = np.zeros((len(sets), _COLUMNS), dtype=np.float32)
+        held[owner[a:b], number[a:b] - low] = 1
+        both += held[:split] @ held[right].T
+    both = both.astype(np.int64)
+    near = 100 * both >= percent * (sizes[:split, None] + sizes[right][None, :] - both)
+    i, j = np.nonzero(np.triu(near, 1) if alone else near)
+    return i, j if alone else j + split
+
+
+def _links_within(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """All links (a, b), a < b, between the sets of each component, with the copies of either
+    (ca, cb): every pair is compared.
+
+    ``members`` has one row per set: root, digest, rep_key (key of one document that has it),
+    copies and blocks. Sets are computed once; each is then copied to the ``blocks`` pairs of blocks that
+    it is in, and each pair of sets meets in exactly one of them."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(words)
+        for batch in text_batches(batches, "text"):
+            found = shingles.sets([t or "" for t in batch.column("text").to_pylist()])
+            items = pa.array([x.tobytes() for x in found], pa.binary())
+            names = ["root", "blocks", "digest", "copies"]
+            columns = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, items], [*names, "items"])
+
+    wanted = members.withColumnRenamed("rep_key", "key")
+    texts = id_filter(docs.select("key", "text"), wanted.select("key"), "key")
+    texts = texts.join(wanted, "key").select("root", "blocks", "digest", "copies", "text")
+    kinds = "root long, blocks int, digest long, copies long, items binary"
+    made = texts.mapInArrow(sets, kinds)
+    made = made.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = made.withColumn("other", other).select(
+        "root",
+        F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"),
+        "block",
+        "digest",
+        "copies",
+        "items",
+    )
+
+    def judged(key: list, held: dict[int, tuple[int, int, bytes]]):
+        # Left block first: where there are two, the pairs within either are met elsewhere.
+        names = sorted(held, key=lambda d: (held[d][0], d))
+        split = sum(held[d][0] == key[1] for d in names)
+        if len(names) < 2 or key[1] != key[2] and split in (0, len(names)):
+            return
+        i, j = linked_pairs(
+            [np.frombuffer(held[d][2], dtype=np.uint64) for d in names], split, percent
+        )
+        copies = np.array([held[d][1] for d in names], dtype=np.int64)
+        names = np.array(names, dtype=np.int64)
+        i, j = np.where(names[i] < names[j], (i, j), (j, i))
+        columns = [names[i], names[j], copies[i], copies[j]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "ca", "cb"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in batch.schema.names]
+            for *own, block, name, copies, items in zip(*columns):
+                if own != key:
+                    if held:
+                        yield from judged(key, held)
+                    key, held = own, {}
+                held[name] = block, copies, items
+        if held:
+            yield from judged(key, held)
+
+    key = ["root", "i", "j"]
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(compare, "a long, b long, ca long, cb long")
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = WORDS,
     percent: int = PERCENT,
 ) -> tuple[DataFrame, DataFrame]:
-    """Classes of near-duplicate texts.
+    """Classes of near-duplicate texts, and all their links.
 
     Two texts link when 100 * shared shingles >= percent * shingles of either. Returns
 
+    - the rows of ``near_classes`` with n_links, the number of other rows that the row links
+      with, rows of an equal set included; none for a text without words;
+    - all links, pairs (a, b) of digests with a < b. Texts with equal sets have one digest and
+      are not expanded into pairs.
+
+    Sets link only within a component. One of two sets has the link that joined them; in larger
+    ones every pair of sets is compared, in blocks (see ``_links_within``).
+    """
+    keyed = _keyed(docs)
+    found, _, reps = near_classes(docs, words, percent)
+    sized = (
+        found.where("component is not null")
+        .groupBy("component", "digest")
+        .agg(F.first("n_shingles").alias("n"))
+        .groupBy("component")
+        .agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
+        .where("sets > 1")
+    )
+    blocks = F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("all") / BLOCK_SHINGLES))
+    placed = found.select("digest", F.col("component").alias("root")).distinct()
+    placed = placed.join(
+        sized.select(F.col("component").alias("root"), "sets", blocks.cast("int").alias("blocks")),
+        "root",
+    )
+    placed = placed.join(reps, "digest")
+    placed = placed.select("root", "digest", "rep_key", "copies", "sets", "blocks")
+    placed = staged(placed, "placed")
+    # Two sets of one component, and no third, have the link that joined them.
+    two = F.array_sort(F.collect_list(F.struct("digest", "copies")))
+    pairs = placed.where("sets = 2").groupBy("root").agg(two.alias("x"))
+    pairs = pairs.selectExpr(
+        "x[0].digest as a", "x[1].digest as b", "x[0].copies as ca", "x[1].copies as cb"
+    )
+    more = _links_within(keyed, placed.where("sets > 2").drop("sets"), words, percent)
+    links = staged(pairs.union(more), "all-links")
+    ends = links.selectExpr("a as digest", "cb as c").union(links.selectExpr("b", "ca"))
+    others = ends.groupBy("digest").agg(F.sum("c").alias("others"))
+    counts = reps.join(others, "digest", "left").select(
+        "digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    )
+    found = found.join(counts, "digest", "left")
+    return found.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")), links.select("a", "b")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64("doc_id", "text").alias("key"),
+        "text",
+    )
+
+
+def near_classes(
+    docs: DataFrame,
+    words: int = WORDS,
+    percent: int = PERCENT,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of near-duplicate texts, without the links that change no class. Returns
+
     - one row per row of ``docs``: doc_id, key (xxhash64 of id and text), n_shingles, digest of
       its shingle set (null without words), and component_id, the smallest doc_id that links
       reach, null ids apart; a text without words links with nothing and is its own component;
       ``component``, the same class as a digest (null without words);
-    - the links found, pairs (a, b) of digests: enough to connect every component. Texts with
-      equal sets have one digest and are not expanded into pairs.
+    - links found on the way, pairs (a, b) of digests: enough to connect every component;
+    - one row per digest: rep (its least doc_id), rep_key (the key of one of its rows), copies.
 
     Signatures (see ``Signatures``) make every pair of linked sets meet. Of the sets that share
     one, the most central (fewest rare shingles of its own, then least digest) is first compared
@@ -416,16 +571,18 @@ def near_duplicates(
     different components are then compared, all of them: a pair within a component adds nothing.
     Prefix, order and verification cover all texts; nothing is capped or sampled.
     """
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("doc_id", "text").alias("key"),
-        "text",
-    )
+    keyed = _keyed(docs)
     counts = shingle_counts(keyed, words)
     indexed = staged(_indexed(keyed, counts, words, percent), "indexed")
     rows = indexed.where("sig is null").select("doc_id", "key", "digest", "n")
     reps = staged(
-        rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")),
+        rows.where("digest is not null")
+        .groupBy("digest")
+        .agg(
+            F.min("doc_id").alias("rep"),
+            F.min("key").alias("rep_key"),
+            F.count("*").alias("copies"),
+        ),
         "reps",
     )
     sigs = indexed.where("sig is not null").select("sig", "digest", "n", "rare", "wide", "rares")
@@ -522,13 +679,13 @@ def near_duplicates(
         F.col("doc_id").alias("component_id"),
         none.alias("component"),
     )
-    return worded.unionByName(empty), links
+    return worded.unionByName(empty), links, reps
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, one of each class of near duplicates: the smallest doc_id, nulls
     last. Texts without words stay, but rows equal in id and text count as one document."""
-    found, _ = near_duplicates(docs, words, percent)
+    found, _, _ = near_classes(docs, words, percent)
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("x")
     kept = found.where("component is not null").groupBy("component").agg(first)
     keys = kept.select("x.key").union(found.where("component is null").select("key").distinct())

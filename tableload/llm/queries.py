@@ -73,7 +73,7 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = near_duplicates(_table(spark, sf_dir, "documents"), words=3, percent=90)
-    return found.select("doc_id", F.col("n_shingles").cast("long"), "component_id")
+    return found.select("doc_id", F.col("n_shingles").cast("long"), "n_links", "component_id")
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

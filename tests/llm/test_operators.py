@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from tableload.llm import ngram_join
 from tableload.llm.common import components
 from tableload.llm.decontaminate import contaminated_windows, drop_contaminated, mark_contaminated
 from tableload.llm.itq import link_vectors
@@ -220,6 +221,41 @@ def test_near_duplicates(docs, doc_rows, no_docs, size, percent):
     assert empty.count() == 0 and one_of_each(no_docs, size, percent).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 512])
+def test_near_duplicates_count_every_link(spark, docs, doc_rows, no_docs, monkeypatch, block):
+    """Groups of many different texts: links between members that are no hub count too."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    size, percent = 3, 80
+    rng, extra = np.random.default_rng(11), []
+    for group, changes in enumerate((1, 4, 7)):
+        base = [f"g{group}w{i}" for i in range(100)]
+        for _ in range(12):
+            copy = list(base)
+            for at in rng.choice(100, changes, replace=False):
+                copy[at] = f"x{rng.integers(1 << 30)}"
+            extra.append(" ".join(copy))
+    extra += [extra[0], extra[0].upper(), extra[1]]
+    extra = [(1000 + i, t, None, None, None, None, None) for i, t in enumerate(extra)]
+    extra += [extra[3], (None, extra[4][1], *extra[4][2:])]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1)) if w)
+
+    rows = doc_rows + extra
+    sets = [shingles(t) for _, t, *_ in rows]
+    linked = [
+        [bool(a and b) and 100 * len(a & b) >= percent * len(a | b) for b in sets] for a in sets
+    ]
+    expected = Counter((r[0], len(s), sum(x) - bool(s)) for r, s, x in zip(rows, sets, linked))
+    pairs = {frozenset([a, b]) for a, x in zip(sets, linked) for b, y in zip(sets, x) if y and a != b}
+    found, links = near_duplicates(docs.unionByName(spark.createDataFrame(extra, docs.schema)), size, percent)
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in found.collect()) == expected
+    links = [(r.a, r.b) for r in links.collect()]
+    assert len(links) == len(set(links)) == len(pairs) and all(a < b for a, b in links)
+    assert near_duplicates(no_docs, size, percent)[1].count() == 0
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 @pytest.mark.parametrize("frequent", [-100_000, 0, 100_000])
 def test_linked_sets_share_a_signature(percent, frequent):
