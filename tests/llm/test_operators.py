@@ -11,8 +11,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tableload.llm import ngram_join
-from tableload.llm.common import components
+from tableload.llm import ngram_join, toxicity
+from tableload.llm.common import components, staged
 from tableload.llm.decontaminate import contaminated_windows, drop_contaminated, mark_contaminated
 from tableload.llm.itq import link_vectors
 from tableload.llm.mixing import mix, mixed_documents
@@ -185,6 +185,31 @@ def test_toxicity_learns_rare_words(spark, docs, no_docs):
     assert {r.score for r in score_toxicity(docs, untaught).collect()} == {0.5}
 
 
+def test_toxicity_learns_from_the_whole_sample(spark, monkeypatch):
+    """9000 rows a label are within the bound: all are learnt from."""
+    learnt = []
+
+    def counted(df, name):
+        rows = staged(df, name)
+        learnt.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(toxicity, "staged", counted)
+    frame = spark.range(18_000).selectExpr(
+        "id as doc_id", "concat('t', id) as text", "cast(id % 2 as int) as label"
+    )
+    model = fit_toxicity(frame.select("doc_id", "text"), frame.select("doc_id", "label"), epochs=1)
+    assert learnt == [18_000] and model.bits == 20
+
+
+def test_toxicity_state_is_packed_without_loss():
+    z, n = np.zeros((2, (1 << 20) + 1))
+    z[5::7], n[::3] = np.random.default_rng(0).normal(size=len(z[5::7])), 0.25
+    data = toxicity._packed((z, n))
+    again = toxicity._unpacked(data, len(z))
+    assert (again[0] == z).all() and (again[1] == n).all() and len(data) < z.nbytes / 4
+
+
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
 def test_near_duplicates(docs, doc_rows, no_docs, size, percent):
     def shingles(text):
