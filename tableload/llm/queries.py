@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_ids, encode_texts
+from .collocations import collocations
 from .common import fold
 from .decontaminate import mark_contaminated
+from .divergence import source_divergence
 from .itq import link_vectors
 from .mixing import mix
 from .ngram_join import near_duplicates
@@ -22,6 +25,7 @@ from .url_filter import judge_urls
 
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 
 URL_RULES = [
     ("net", "/", "block"),
@@ -118,6 +122,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held(*TOXICITY_FOLD).alias("held_out"), "score", "predicted")
 
 
+def op11_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(WORDS)
+    rows = decode_ids(encode_texts(_table(spark, sf_dir, "documents"), path), path)
+    return rows.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -131,6 +154,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_decontamination,
         op9_secret_scans,
         op10_toxicity,
+        op11_bpe_encoding,
+        op12_source_divergence,
+        op13_phrase_collocations,
     )
 }
 
@@ -213,8 +239,98 @@ SELECT doc_id, size, source_size, target,
 FROM placed JOIN cuts ON placed.source IS NOT DISTINCT FROM cuts.source
 """
 
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+      AS text FROM documents),
+words AS (
+  SELECT row, lang, source,
+    unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (
+  SELECT lang, term, count(*) AS lang_n FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+langs AS (
+  SELECT d.lang, coalesce(k.v, 0)::HUGEINT AS v, coalesce(k.n, 0)::HUGEINT AS lang_total
+  FROM (SELECT DISTINCT lang FROM docs) d
+  LEFT JOIN (SELECT lang, count(*) AS v, sum(lang_n) AS n FROM kept GROUP BY lang) k USING (lang)),
+counts AS (
+  SELECT w.lang, w.source, w.term, count(*) AS n
+  FROM words w JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT d.lang, d.source, l.v, l.lang_total, coalesce(t.n, 0)::HUGEINT AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) d JOIN langs l USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL) t USING (lang, source)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 5) // (g.total + 5 * g.v) AS p,
+    1 + 1000000000::HUGEINT * (k.lang_n + 5) // (g.lang_total + 5 * g.v) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+  GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+    coalesce(p.value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER
+    AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (
+  SELECT row_number() OVER () AS row, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM pieces),
+words AS (SELECT row, lang, generate_subscripts(w, 1) AS i, unnest(w) AS a FROM split),
+places AS (
+  SELECT lang, a, lead(a) OVER along AS b, lead(a, 2) OVER along AS c
+  FROM words WINDOW along AS (PARTITION BY row ORDER BY i)),
+grams AS (
+  SELECT lang, 1 AS size, a AS phrase FROM places
+  UNION ALL SELECT lang, 2, a || ' ' || b FROM places WHERE b IS NOT NULL
+  UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c FROM places WHERE c IS NOT NULL),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+candidates AS (
+  SELECT lang, size, phrase, f AS a, str_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+cuts AS MATERIALIZED (
+  SELECT *, array_to_string(w[:k], ' ') AS first, array_to_string(w[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
+scored AS (
+  SELECT c.lang, c.size, c.phrase, c.a, c.k, x.f AS l, y.f AS r,
+    1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = c.first
+  JOIN f y ON y.lang = c.lang AND y.phrase = c.rest),
+lowest AS (
+  SELECT lang, size, phrase, a, unnest(cut) FROM (
+    SELECT lang, size, phrase, a, min({'score': score, 'k': k, 'l': l, 'r': r}) AS cut
+    FROM scored GROUP BY ALL)),
+longer AS (
+  SELECT lang, array_to_string(w[s:s + 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT *, unnest([1, 2]) AS s FROM candidates WHERE size = 3) GROUP BY ALL),
+ranked AS (
+  SELECT l.lang, l.phrase, l.a, l.l, l.r, l.score::BIGINT AS score,
+    row_number() OVER (PARTITION BY l.lang ORDER BY l.score DESC, l.a DESC, l.phrase) AS rank
+  FROM lowest l LEFT JOIN longer o ON l.size = 2 AND o.lang = l.lang AND o.phrase = l.phrase
+  WHERE o.longer IS NULL OR 100 * o.longer < 50 * l.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang)
+WHERE rank <= 2000
+"""
+
 SQL: dict[str, str] = {
     "op1_url_filters": URL_SQL,
     "op5_embedding_near_dedup": VECTOR_SQL,
     "op7_source_mixing": MIX_SQL,
+    "op12_source_divergence": DIVERGENCE_SQL,
+    "op13_phrase_collocations": COLLOCATION_SQL,
 }
