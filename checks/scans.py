@@ -350,3 +350,12 @@ def clean_columns_query(spark, sf_dir):
     df = table(spark, sf_dir, _CUSTOMER).select("c_custkey", "c_name", "c_acctbal")
     text = read_text(spark, write_csv(df.toDF("1-key", "select", "balance ($)"), "names"))
     return apply_schema(clean_columns(text), infer_schema(clean_columns(text)))
+
+
+@query(
+    "csv_scan_quoted_newlines",
+    'SELECT doc_id, "text", lang, source, n_chars FROM documents',
+)
+def csv_scan_quoted_newlines(spark, sf_dir):
+    """Texts with newlines in quoted cells, put together from lines."""
+    return _loaded(spark, write_csv(table(spark, sf_dir, "documents"), "documents"), Dialect())

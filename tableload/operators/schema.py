@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -187,10 +187,11 @@ def apply_schema(
 
 
 def _typed_with_losses(
-    df: DataFrame, schema: T.StructType, enforce_required: bool = False
+    df: DataFrame, schema: T.StructType, enforce_required: bool = False, kept: Sequence[str] = ()
 ) -> tuple[DataFrame, list[Column]]:
     """The typed frame with a flag per cell that held something and per decimal cell that lost
-    digits, and the aggregates ``rejected:<column>`` and ``rounded:<column>`` over it."""
+    digits, and the aggregates ``rejected:<column>`` and ``rounded:<column>`` over it. Columns
+    ``kept`` pass as they are."""
     sources = _sources(df, schema)
     losable = [
         f.name
@@ -207,7 +208,12 @@ def _typed_with_losses(
         loses_digits(column(sources[n]), scale).alias(f"__rounded:{n}")
         for n, scale in decimals.items()
     ]
-    typed = df.select(*typed_columns(df, schema, enforce_required=enforce_required), *given, *cut)
+    typed = df.select(
+        *typed_columns(df, schema, enforce_required=enforce_required),
+        *given,
+        *cut,
+        *[column(n) for n in kept],
+    )
     lost = [
         F.count_if(column(f"__given:{n}") & column(n).isNull()).alias(f"rejected:{n}")
         for n in losable
@@ -219,11 +225,13 @@ def _typed_with_losses(
     return typed, lost
 
 
-def load_counts(df: DataFrame, schema: T.StructType, *others: Column) -> DataFrame:
+def load_counts(
+    df: DataFrame, schema: T.StructType, *others: Column, kept: Sequence[str] = ()
+) -> DataFrame:
     """One row on an all-text frame under a schema: ``total_rows``, ``rejected`` (cells lost per
     column), ``rounded`` (decimals that lose digits) and ``required_nulls`` (per required column),
-    without zeros; and other aggregates of the typed columns."""
-    typed, lost = _typed_with_losses(df, schema)
+    without zeros; and other aggregates of the typed columns and of those ``kept`` as they are."""
+    typed, lost = _typed_with_losses(df, schema, kept=kept)
     required = [f.name for f in schema if not f.nullable]
     nulls = [F.count_if(column(n).isNull()).alias(f"null:{n}") for n in required]
     counted = typed.agg(F.count("*").alias("total_rows"), *lost, *nulls, *others)

@@ -39,6 +39,7 @@ from ..sinks.catalog import (
     table_transforms,
 )
 from ..sinks.chunks import FILE_BYTES, file_sizing, row_bytes
+from ..sinks.overwrite import finish_replacement
 from ..sinks.table import write_table
 from ..sources.csv import Dialect, input_bytes, read_text
 from .history import JobLog
@@ -173,11 +174,14 @@ def plan_load(
 ) -> DataFrame:
     """Dry run: one row on what ``load_csv`` would do; nothing is written.
 
-    Rows, ``rejected`` and ``rounded`` cells and ``required_nulls`` (which would fail the load)
-    per column and the bytes of the values are exact; ``files`` is how many of about ``file_bytes`` hold them.
+    The input is read as the load reads it. Rows, ``ragged`` rows, ``rejected`` and ``rounded``
+    cells and ``required_nulls`` (which would fail the load) per column and the bytes of the
+    values are exact; ``files`` is how many of about ``file_bytes`` hold them.
     """
     name = resolve_table(spark, table)
-    text, schema, _ = prepare(spark, path, **prepare_options)
+    finish_replacement(spark, name)
+    flagged, schema, _ = prepare(spark, path, **prepare_options, ragged_flag=_RAGGED)
+    text = flagged.drop(_RAGGED)
     exists = table_exists(spark, name)
     rebuilds = exists and mode == "overwrite" and replace_schema
     creates = rebuilds or not exists
@@ -191,7 +195,8 @@ def plan_load(
     size = F.coalesce(F.sum(row_bytes(typed)), F.lit(0)).alias("total_bytes")
     rows = F.col("total_rows").cast("double")
     per_file, files = file_sizing(rows, F.col("total_bytes"), file_bytes)
-    return load_counts(text, schema, size).select(
+    ragged = F.count_if(F.col(_RAGGED)).alias("ragged")
+    return load_counts(flagged, schema, size, ragged, kept=[_RAGGED]).select(
         F.lit(name).alias("table_name"),
         F.lit(mode).alias("mode"),
         F.lit(ddl).cast("string").alias("ddl"),
@@ -202,6 +207,7 @@ def plan_load(
         "rejected",
         "rounded",
         "required_nulls",
+        "ragged",
         (F.col("total_rows") / DRY_RUN_ROWS_PER_SECOND).alias("estimated_seconds"),
         F.lit(int(not exists)).alias("tables_created"),
         F.lit(int(exists)).alias("tables_modified"),
@@ -234,8 +240,8 @@ def load_csv(
 
     Inference reads the whole input once more than the write does; a declared schema or
     ``sample_rows`` saves that scan, and cells the sample misjudged show up in ``rejected``.
-    A folder whose files differ in their headers, and quoted cells with newlines read without
-    ``multiline``, fail the load before it commits. Failures are reported in the result, not
+    Quoted cells may hold newlines (see ``Dialect``). A folder whose files differ in their
+    headers fails the load before it commits. Failures are reported in the result, not
     raised. ``progress`` is told 0 and 100, and with ``progress_seconds`` as often the share of
     the write's tasks that are done, from another thread.
     """
@@ -272,7 +278,9 @@ def load_csv(
             result.rows_processed = report["total_rows"]
             result.rejected = report["rejected"]
             result.rounded = report["rounded"]
+            result.ragged = report["ragged"]
         else:
+            finish_replacement(spark, name)
             if progress:
                 progress(0)
             text, load_schema, result.ignored_columns = prepare(

@@ -57,12 +57,15 @@ def test_files_with_another_header_fail_the_load(spark, db, tmp_path):
     assert not spark.catalog.tableExists(f"{db}.t")
 
 
-def test_newlines_in_quotes_fail_a_load_by_lines(spark, db, write_file):
+def test_newlines_in_quotes_stay_in_their_rows(spark, db, write_file):
     path = write_file('id,text,n\n1,"two\nlines",3\n2,one,4\n')
-    result = load_csv(spark, path, f"{db}.t")
-    assert not result.success and "multiline=True" in result.error
+    blind = load_csv(spark, path, f"{db}.t", dialect=Dialect(quoted_newlines=False))
+    assert not blind.success and "multiline=True" in blind.error
     assert not spark.catalog.tableExists(f"{db}.t")
-    assert load_csv(spark, path, f"{db}.t", dialect=Dialect(multiline=True)).rows_processed == 2
+    for dialect in (Dialect(), Dialect(multiline=True)):
+        result = load_csv(spark, path, f"{db}.t", dialect=dialect, mode="overwrite")
+        assert (result.rows_processed, result.ragged) == (2, 0)
+        assert read_table(spark, f"{db}.t").where("id = 1").head()["text"] == "two\nlines"
 
 
 def test_ragged_rows_are_reported(spark, db, write_file):
