@@ -469,3 +469,71 @@ def dry_run_ddl(spark, sf_dir):
     path = write_csv(table(spark, sf_dir, "lineitem"), "lineitem")
     plan = plan_load(spark, path, _target(spark), transforms=[Transform("l_shipdate", "month")])
     return plan.select(F.regexp_extract("ddl", r"(\(.*)", 1).alias("ddl"), "total_rows")
+
+
+@query(
+    "load_split_quotes",
+    """SELECT doc_id, length("text") AS chars,
+              length("text") - length(replace("text", chr(10), '')) AS newlines,
+              0 AS ragged, TRUE AS planned FROM documents""",
+)
+def load_split_quotes(spark, sf_dir):
+    """Quoted cells with newlines load as one row each, and the dry run says so."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    path, target = write_csv(docs.repartition(3, "doc_id"), "documents"), _target(spark)
+    plan = load_csv(spark, path, target, dry_run=True)
+    result = load_csv(spark, path, target)
+    if not result.success:
+        raise RuntimeError(result.error)
+    newlines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    return spark.table(target).select(
+        "doc_id",
+        F.length("text").cast("bigint").alias("chars"),
+        newlines.cast("bigint").alias("newlines"),
+        F.lit(result.ragged).alias("ragged"),
+        F.lit((plan.rows_processed, plan.ragged) == (result.rows_processed, 0)).alias("planned"),
+    )
+
+
+@query(
+    "dry_run_ragged",
+    """SELECT count(*) AS total_rows, count(*) FILTER (p_partkey % 5 IN (2, 3)) AS ragged,
+              1 AS columns_losing FROM part""",
+)
+def dry_run_ragged(spark, sf_dir):
+    """Rows that a load would cut or fill are counted before it, around a cell with a newline."""
+    form = F.col("p_partkey") % 5
+    full = F.concat_ws(",", "p_partkey", F.concat(F.lit('"a\n'), "p_brand", F.lit('"')), "p_type")
+    line = F.when(form == 3, F.concat_ws(",", "p_partkey", "p_brand")).otherwise(full)
+    line = F.when(form == 2, F.concat(full, F.lit(",surplus"))).otherwise(line)
+    lines = write_lines(table(spark, sf_dir, "part").select(line.alias("value")), "ragged")
+    schema = """[{"name": "col_0", "type": "Long"}, {"name": "col_1"},
+                 {"name": "col_2", "type": "Long"}]"""
+    report = plan_load(
+        spark, lines, _target(spark), dialect=Dialect(header=False), schema=schema
+    )
+    losing = F.size("rejected").alias("columns_losing")
+    return report.select("total_rows", F.col("ragged").cast("bigint").alias("ragged"), losing)
+
+
+@query(
+    "write_overwrite_in_place",
+    """SELECT o_custkey, o_orderkey, 'kept' AS comment, 'EXTERNAL' AS kind FROM orders
+       WHERE o_orderkey % 2 = 0""",
+)
+def write_overwrite_in_place(spark, sf_dir):
+    """An overwrite of a table in a folder of its own choice, read from the folder itself."""
+    orders, target = _orders(spark, sf_dir), _target(spark)
+    folder = scratch_path(spark, "mine")
+    spark.sql(
+        f"CREATE TABLE {target} (o_orderkey BIGINT COMMENT 'kept', o_custkey BIGINT) "
+        f"USING parquet LOCATION '{folder}'"
+    )
+    write_table(orders.select("o_orderkey", "o_custkey"), target)
+    even = orders.where("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey")
+    write_table(even, target, mode="overwrite", replace_schema=False)
+    comment = spark.table(target).schema["o_orderkey"].metadata["comment"]
+    kind = spark.sql(f"DESCRIBE TABLE EXTENDED {target}").where("col_name = 'Type'").head()[1]
+    return spark.read.parquet(folder).select(
+        "o_orderkey", "o_custkey", F.lit(comment).alias("comment"), F.lit(kind).alias("kind")
+    )

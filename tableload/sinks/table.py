@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,26 +16,18 @@ from ..operators.layout import (
     spread_by_partition,
 )
 from .catalog import (
-    TRANSFORMS_PROPERTY,
-    drop_table,
     quoted,
-    quoted_part,
     remember_transforms,
     resolve_table,
     table_exists,
-    table_properties,
-    table_storage,
     table_transforms,
 )
+from .overwrite import finish_replacement, replace_table
 
 # Sources whose catalog commits an overwrite as one snapshot.
 _SNAPSHOT_SOURCES = ("iceberg", "delta")
 
 
-# The folder that an overwrite made for a table.
-_FOLDER = re.compile(r"__data_[0-9a-f]{32}$")
-
-
 def align_to_table(df: DataFrame, target: T.StructType) -> DataFrame:
     """The frame in the target's column order and types, matched by name.
 
@@ -96,47 +86,6 @@ def _append(
     writer.insertInto(quoted(name))
 
 
-def _replace(
-    df: DataFrame,
-    name: str,
-    using: str | None,
-    transforms: Sequence[Transform],
-    max_records_per_file: int | None,
-) -> None:
-    """Put a complete new folder behind the table's name.
-
-    The frame is written beside the old data first. Only then the name is given to the new
-    folder, and the old data goes last, so a load that fails leaves the table as it was.
-    """
-    spark = df.sparkSession
-    provider, old = table_storage(spark, name)
-    properties = table_properties(spark, name)
-    using = using or provider
-    new = f"{_FOLDER.sub('', old.rstrip('/'))}__data_{uuid.uuid4().hex}"
-    laid_out = _laid_out(df, transforms)
-    writer = laid_out.write.format(using)
-    if max_records_per_file:
-        writer = writer.option("maxRecordsPerFile", max_records_per_file)
-    if transforms:
-        writer = writer.partitionBy(*[t.partition_column for t in transforms])
-    writer.save(new)
-    drop_table(spark, name)
-    columns = ", ".join(f"{quoted_part(f.name)} {f.dataType.simpleString()}" for f in laid_out.schema)
-    ddl = f"CREATE TABLE {quoted(name)} ({columns}) USING {using}"
-    if transforms:
-        ddl += f" PARTITIONED BY ({', '.join(quoted_part(t.partition_column) for t in transforms)})"
-    spark.sql(f"{ddl} LOCATION '{new}'")
-    if transforms:
-        spark.catalog.recoverPartitions(quoted(name))
-    for key, value in properties.items():
-        if key != TRANSFORMS_PROPERTY:
-            spark.sql(f"ALTER TABLE {quoted(name)} SET TBLPROPERTIES ('{key}' = '{value}')")
-    remember_transforms(spark, name, transforms)
-    spark.catalog.refreshTable(quoted(name))
-    if _FOLDER.search(old):  # a table with a folder of its own choice keeps its files when dropped
-        spark.range(0).write.mode("overwrite").parquet(old)
-
-
 def write_table(
     df: DataFrame,
     table: str,
@@ -151,9 +100,11 @@ def write_table(
 
     ``append`` adds rows; transforms given must be the table's. ``overwrite`` leaves exactly this
     frame: with ``replace_schema`` the table is rebuilt, without, it keeps its schema and layout.
-    Either way the new rows are complete in a folder of their own before they replace the old
-    ones, so a failed load leaves the old rows and a frame may read the table it replaces.
-    Provider (unless ``using`` is given) and properties survive. One Spark job writes all rows.
+    Either way the new rows are complete in a table of their own before they replace the old
+    ones, so a failed load leaves the old rows and a frame may read the table it replaces; a
+    replacement that a crash cuts off is finished by the next use of the table (``overwrite``).
+    Provider (unless ``using`` is given), comments, properties and the folder survive. One Spark
+    job writes all rows; an overwrite of a folder of the user's choice takes another.
     """
     if mode not in ("append", "overwrite"):
         raise ValueError(f"mode must be append or overwrite, not {mode!r}")
@@ -161,7 +112,9 @@ def write_table(
     name = resolve_table(spark, table)
     if using in _SNAPSHOT_SOURCES:
         _write_snapshot(df, name, mode, transforms, replace_schema, using)
-    elif not table_exists(spark, name):
+        return
+    finish_replacement(spark, name)
+    if not table_exists(spark, name):
         _create_filled(df, name, using or "parquet", transforms, max_records_per_file)
     elif mode == "append" or not replace_schema:
         kept = table_transforms(spark, name)
@@ -173,9 +126,9 @@ def write_table(
             _append(df, name, kept, max_records_per_file)
         else:
             target = drop_partition_columns(spark.table(quoted(name)), kept).schema
-            _replace(align_to_table(df, target), name, None, kept, max_records_per_file)
+            replace_table(align_to_table(df, target), name, None, kept, max_records_per_file)
     else:
-        _replace(df, name, using, transforms, max_records_per_file)
+        replace_table(df, name, using, transforms, max_records_per_file)
 
 
 def _write_snapshot(
@@ -215,6 +168,7 @@ def _write_snapshot(
 def read_table(spark: SparkSession, table: str) -> DataFrame:
     """A table without its derived partition columns."""
     name = resolve_table(spark, table)
+    finish_replacement(spark, name)
     return drop_partition_columns(spark.table(quoted(name)), table_transforms(spark, name))
 
 
