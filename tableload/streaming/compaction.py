@@ -73,9 +73,11 @@ def merge_batches(
     table: str,
     *,
     keep: int = 1,
+    through: int | None = None,
     fold: Callable[[DataFrame], DataFrame] | None = None,
 ) -> int:
     """Merge all batches but the newest ``keep`` into one partition; returns how many were merged.
+    With ``through`` all up to that number are merged instead, which nothing may write to anymore.
 
     The newest batch is the only one a restarted stream may replay, so it always keeps a partition
     of its own. Without ``fold``, earlier merges stay as they are and each row is rewritten once.
@@ -91,10 +93,16 @@ def merge_batches(
     numbers = {int(spec[BATCH_COLUMN]) for spec in found}
     # Left by a merge that failed after its commit, or before it.
     stale = [n for n in numbers if 0 <= n <= before or n < merged_batch(before)]
-    chosen = sorted(n for n in numbers if n > before)[:-keep]
-    if len(chosen) > 1 or (fold and chosen):
+    chosen = sorted(n for n in numbers if n > before)
+    again = False  # fold earlier merges though no batch is new
+    if through is None:
+        chosen = chosen[:-keep]
+        through = chosen[-1] if chosen else before
+    else:
+        chosen = [n for n in chosen if n <= through]
+        again = through > before and any(merged_batch(before) <= n < 0 for n in numbers)
+    if len(chosen) > 1 or (fold and (chosen or again)):
         _drop(spark, name, [s for s in found if int(s[BATCH_COLUMN]) in stale])
-        through = chosen[-1]
         low = merged_batch(before) if fold else before + 1
         rows = spark.table(quoted(name)).where(F.col(BATCH_COLUMN).between(low, through))
         if fold:
@@ -116,7 +124,7 @@ def merge_batches(
         spark.sql(
             f"ALTER TABLE {quoted(name)} SET TBLPROPERTIES ('{MERGED_PROPERTY}' = '{through}')"
         )
-        replaced = [n for n in numbers if n < 0] if fold else []
+        replaced = [n for n in numbers if n < 0 and n != merged_batch(through)] if fold else []
         stale = [*chosen, *replaced]
     else:
         chosen = []
