@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tableload.operators.layout import Transform
 from tableload.session import scratch_database, scratch_path
-from tableload.streaming.ingest import ingest_dir, read_ingested
+from tableload.sources.csv import Dialect
+from tableload.streaming.ingest import ingest_dir, ingested_profile, read_ingested
 from tableload.streaming.job_states import (
     follow_job_states,
     followed_states,
@@ -82,3 +83,63 @@ def _followed(spark, sf_dir):
         updates(log), target, scratch_path(spark, "checkpoint"), fields=STATE_FIELDS
     )
     return target
+
+
+@query(
+    "ingest_ragged",
+    """SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE lang END AS lang,
+              length("text") AS chars,
+              (SELECT count(*) FILTER (doc_id % 7 IN (2, 3)) FROM documents) AS ragged
+       FROM documents""",
+)
+def ingest_ragged(spark, sf_dir):
+    """Two batches of texts with newlines in quoted cells, and rows too long or too short."""
+    text = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    form = F.col("doc_id") % 7
+    line = F.when(form == 3, F.concat_ws(",", "doc_id", text)).otherwise(
+        F.concat_ws(",", "doc_id", text, "lang")
+    )
+    line = F.when(form == 2, F.concat(line, F.lit(",surplus"))).otherwise(line)
+    docs = table(spark, sf_dir, "documents")
+    target, path = f"{scratch_database(spark)}.docs", scratch_path(spark, "docs")
+    checkpoint, ragged = scratch_path(spark, "checkpoint"), 0
+    for half in (0, 1):
+        some = docs.where(F.col("doc_id") % 2 == half).select(line.alias("value"))
+        some.coalesce(2).write.mode("append").option("extension", "csv").text(path)
+        schema = """[{"name": "col_0", "type": "Long"}, {"name": "col_1"}, {"name": "col_2"}]"""
+        result = ingest_dir(
+            spark, path, target, checkpoint, dialect=Dialect(header=False), schema=schema
+        )
+        ragged += result.ragged
+    return read_ingested(spark, target).select(
+        F.col("col_0").alias("doc_id"),
+        F.col("col_2").alias("lang"),
+        F.length("col_1").cast("bigint").alias("chars"),
+        F.lit(ragged).cast("bigint").alias("ragged"),
+    )
+
+
+@query(
+    "ingested_profile",
+    """SELECT 'o_orderstatus' AS "column", count(*) AS total_values, 0 AS null_count,
+              1.0 - (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus))
+                / count(*)::DOUBLE AS evenness, 0.0::DOUBLE AS evenness_error, 4 AS batches
+       FROM orders
+       UNION ALL
+       SELECT 'o_orderpriority', count(*), 0,
+              1.0 - (SELECT max(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority))
+                / count(*)::DOUBLE, 0.0::DOUBLE, 4 FROM orders""",
+)
+def ingested_profile_of_batches(spark, sf_dir):
+    """The profile of four batches, added up from their sketches."""
+    path = write_csv(table(spark, sf_dir, "orders").repartition(4, "o_orderkey"), "orders")
+    database, checkpoint = scratch_database(spark), scratch_path(spark, "checkpoint")
+    result = ingest_dir(
+        spark, path, f"{database}.orders", checkpoint, max_files_per_batch=1,
+        profile_table=f"{database}.sketches",
+    )
+    found = ingested_profile(spark, f"{database}.sketches").where("evenness is not null")
+    return found.select(
+        "column", "total_values", F.col("null_count").cast("int").alias("null_count"), "evenness",
+        "evenness_error", F.lit(result.batches).alias("batches"),
+    )

@@ -20,7 +20,7 @@ from .sinks.table import read_table, write_table
 from .sources.csv import Dialect, read_text
 from .sources.structure import structure_report
 from .streaming.compaction import merge_batches
-from .streaming.ingest import ingest_dir, read_ingested
+from .streaming.ingest import ingest_dir, ingested_profile, read_ingested
 from .streaming.job_states import follow_job_states, followed_states, merge_job_states
 
 __all__ = [

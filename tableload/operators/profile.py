@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cells import as_text, column, zoneless_micros
-from ..functions.fixed import DATE_LIKE_PATTERNS
+from ..functions.fixed import DATE_LIKE_PATTERNS, SCORES
 from ..functions.samples import random_sample
 from ..functions.typenames import logical_type, type_class, type_label
 
@@ -19,6 +20,14 @@ _WHOLE = f"^({_ANYWHERE})" + r"\z"
 # Text is date-like when at least this share of its filled values are dates.
 DATE_LIKE_SHARE = 0.9
 
+# Most frequent values that a sketch tracks exactly, and the type of such a sketch.
+TOP_CAPACITY = 8192
+_TOP = "struct<sketch:binary,maxItemsTracked:int,itemDataType:bigint,itemDataTypeDDL:string>"
+# Where the advice for text asks for evenness.
+_THRESHOLDS = sorted(
+    {float(x) for rule, _ in SCORES["string"] for x in re.findall(r"\be >= ([0-9.]+)D", rule)}
+)
+
 # Text longer than this is grouped by digest, so that prose does not travel through the shuffle.
 _DIGEST_BYTES = 64
 
@@ -70,8 +79,8 @@ def value_counts(df: DataFrame, *, anchored: bool = True) -> DataFrame:
     )
 
 
-def _named(per_column: DataFrame, schema: T.StructType) -> DataFrame:
-    """Add name, type and class by position and derive the ratios."""
+def _named(per_column: DataFrame, schema: T.StructType, *others: str) -> DataFrame:
+    """Add name, type and class by position and derive the ratios; ``others`` stay last."""
 
     def lookup(values: list[str]) -> Column:
         # A constant: parsed once, when the plan is optimised.
@@ -92,6 +101,7 @@ def _named(per_column: DataFrame, schema: T.StructType) -> DataFrame:
         F.when(filled, F.col("unique_values") / F.col("total_values")).alias("cardinality_ratio"),
         F.when(filled, 1.0 - F.col("top_rows") / F.col("total_values")).alias("evenness"),
         "date_like",
+        *others,
     )
 
 
@@ -111,7 +121,8 @@ def profile(
 
     ``unique_values`` counts null as a value; it is sketched (see ``profile_approx``) unless
     ``exact`` asks for a shuffle of every distinct value. ``evenness`` is one minus the share of
-    the most frequent value. ``date_like`` marks text of which at least ``date_share`` of the
+    the most frequent value, and ``evenness_error`` how much greater it may be, 0 if it was
+    counted. ``date_like`` marks text of which at least ``date_share`` of the
     filled values are dates as a whole, or with ``anchored=False`` hold one anywhere; a share of
     0 asks for a single one. Looks at all rows unless ``sample_rows`` asks for a random sample of
     about that many.
@@ -150,65 +161,145 @@ def profile_exact(
             "date_like", _date_like(F.col("dates"), F.col("total_values"), date_share)
         )
     )
-    return _named(per_column, df.schema)
+    per_column = per_column.withColumn("evenness_error", F.lit(0.0))
+    return _named(per_column, df.schema, "evenness_error")
 
 
-def profile_approx(
+def profile_sketches(
     df: DataFrame,
     *,
     precision: int = 13,
-    date_share: float = DATE_LIKE_SHARE,
+    capacity: int = TOP_CAPACITY,
     anchored: bool = True,
 ) -> DataFrame:
-    """Like ``profile_exact`` with sketched distinct counts: no shuffle of values.
+    """What one scan tells of each column, such that it adds up over batches: rows, filled and
+    date-like cells, a sketch of the distinct values (``distinct``) and, of text, one of the most
+    frequent values (``top``). One row per column; no values are shuffled.
 
-    ``precision`` is the base-2 logarithm of the sketch size; 13 errs by about one percent. Only
-    text columns whose sketched ratio leaves evenness open (at most 0.25) are then counted by
-    value in a second scan, and those collapse on the map side because they repeat. Other
-    columns report no evenness, which their advice does not use.
+    ``precision`` is the base-2 logarithm of the distinct sketch's size; 13 errs by about one
+    percent. ``capacity`` values are tracked exactly in ``top``; see ``profile_of_sketches``.
     """
     pattern = _WHOLE if anchored else _ANYWHERE
-    schema = df.schema
-    aggs = [F.count("*").alias("rows")]
-    for i, f in enumerate(schema):
+    aggs = []
+    for i, f in enumerate(df.schema):
         is_text = isinstance(f.dataType, T.StringType)
         cell = as_text(column(f.name), f.dataType) if _label(f.dataType) == "string" else column(
             f.name
         )
         dates = F.count_if(cell.rlike(pattern)) if is_text else F.lit(0).cast("bigint")
         # The hash of null is a value of its own, as null is in the count.
-        sketch = F.hll_sketch_agg(F.xxhash64(cell), F.lit(precision))
-        aggs += [
-            F.hll_sketch_estimate(sketch).alias(f"u{i}"),
-            F.count(cell).alias(f"n{i}"),
-            dates.alias(f"d{i}"),
-        ]
-    # One row, a handful of numbers per column.
-    seen = df.agg(*aggs).head()
-    repeating = [
-        i
-        for i, f in enumerate(schema)
-        if isinstance(f.dataType, T.StringType)
-        and seen[f"n{i}"]
-        and seen[f"u{i}"] <= 0.25 * seen[f"n{i}"]
-    ]
-    rows = [
-        (i, seen[f"u{i}"], seen[f"n{i}"], seen["rows"] - seen[f"n{i}"], seen[f"d{i}"])
-        for i in range(len(schema))
+        hashed = F.xxhash64(cell)
+        top = F.call_function("approx_top_k_accumulate", hashed, F.lit(capacity))
+        aggs.append(
+            F.struct(
+                F.lit(i).alias("pos"),
+                F.lit(f.name).alias("column"),
+                F.lit(f.dataType.json()).alias("kind"),
+                F.count("*").alias("rows"),
+                F.count(cell).alias("filled"),
+                dates.alias("dates"),
+                F.hll_sketch_agg(hashed, F.lit(precision)).alias("distinct"),
+                (top if is_text else F.lit(None).cast(_TOP)).cast(_TOP).alias("top"),
+            ).alias(f"c{i}")
+        )
+    return df.agg(*aggs).select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(aggs))])))
+
+
+def merge_sketches(sketches: DataFrame, capacity: int = TOP_CAPACITY) -> DataFrame:
+    """The sketches of several batches as those of all their rows. Columns go by name; they keep
+    the least position and the type of it."""
+    first = F.min(F.struct("pos", "kind"))
+    sums = (
+        sketches.groupBy("column")
+        .agg(
+            first.alias("first"),
+            *[F.sum(c).alias(c) for c in ("rows", "filled", "dates")],
+            F.expr("hll_union_agg(distinct, true)").alias("distinct"),
+        )
+        .select("first.pos", "column", "first.kind", "rows", "filled", "dates", "distinct")
+    )
+    combine = F.call_function("approx_top_k_combine", "top", F.lit(capacity)).cast(_TOP)
+    tops = sketches.where("top is not null").groupBy("column").agg(combine.alias("top"))
+    return sums.join(tops, "column", "left").select(*sketches.columns)
+
+
+def profile_of_sketches(
+    sketches: DataFrame, *, capacity: int = TOP_CAPACITY, date_share: float = DATE_LIKE_SHARE
+) -> DataFrame:
+    """``profile`` from sketches (one row per column), without the data.
+
+    ``evenness`` is there for text whose distinct ratio leaves it open (at most 0.25), and
+    ``evenness_error`` says how much greater it may be: nothing while at most ``capacity`` values
+    were tracked, else 3.5 rows in each slot of the sketch's table, over the filled ones.
+    """
+    rows = sketches.select(
+        "pos", "column", "kind", "rows", "filled", "dates",
+        F.hll_sketch_estimate("distinct").alias("unique_values"),
+        F.when(
+            F.col("top").isNotNull(),
+            F.expr("element_at(approx_top_k_estimate(top, 1), 1).count"),
+        ).alias("most"),
+    ).collect()  # one small row per column
+    fields = [
+        {"name": r["column"], "type": json.loads(r["kind"]), "nullable": True, "metadata": {}}
+        for r in rows
     ]
-    per_column = df.sparkSession.createDataFrame(
-        rows,
-        "pos int, unique_values bigint, total_values bigint, null_count bigint, dates bigint",
+    schema = T.StructType.fromJson({"type": "struct", "fields": fields})
+    slots = 1 << (-(-4 * capacity // 3) - 1).bit_length()
+    found = []
+    for i, r in enumerate(rows):
+        open_ = r["most"] is not None and r["filled"] and r["unique_values"] <= 0.25 * r["filled"]
+        # The distinct count is an estimate too; a tenth is far beyond its error.
+        whole = r["unique_values"] * 1.1 <= capacity
+        found.append(
+            (
+                i, r["pos"], r["unique_values"], r["filled"], r["rows"] - r["filled"], r["dates"],
+                r["most"] if open_ else None,
+                (0.0 if whole else 3.5 / slots * r["rows"] / r["filled"]) if open_ else None,
+            )
+        )
+    per_column = sketches.sparkSession.createDataFrame(
+        found,
+        "pos int, place int, unique_values bigint, total_values bigint, null_count bigint, "
+        "dates bigint, top_rows bigint, evenness_error double",
     ).withColumn("date_like", _date_like(F.col("dates"), F.col("total_values"), date_share))
-    if repeating:
-        names = [schema[i].name for i in repeating]
-        back = F.get(F.array(*[F.lit(i) for i in repeating]), F.col("pos"))
-        tops = (
-            value_counts(df.select([column(n) for n in names]))
-            .groupBy(back.alias("pos"))
-            .agg(F.max("rows").alias("top_rows"))
-        )
-        per_column = per_column.join(tops, "pos", "left")
-    else:
-        per_column = per_column.withColumn("top_rows", F.lit(None).cast("bigint"))
-    return _named(per_column, schema)
+    named = _named(per_column, schema, "place", "evenness_error")
+    return named.withColumn("field_id", F.col("place") + 1).drop("place")
+
+
+def profile_approx(
+    df: DataFrame,
+    *,
+    precision: int = 13,
+    capacity: int = TOP_CAPACITY,
+    date_share: float = DATE_LIKE_SHARE,
+    anchored: bool = True,
+) -> DataFrame:
+    """Like ``profile_exact`` with sketches (``profile_sketches``): one scan, and no shuffle of
+    values. Text columns whose evenness is known only so closely that a threshold of the advice
+    lies within its error are counted by value in a second scan; others report the error."""
+    sketches = profile_sketches(df, precision=precision, capacity=capacity, anchored=anchored)
+    found = profile_of_sketches(sketches, capacity=capacity, date_share=date_share)
+    thresholds = F.array(*[F.lit(t) for t in _THRESHOLDS])
+    low, high = F.col("evenness"), F.col("evenness") + F.col("evenness_error")
+    spans = F.exists(thresholds, lambda t: (low < t) & (t <= high))
+    # One small row per column.
+    open_ = [r["column"] for r in found.where("evenness_error > 0").where(spans).collect()]
+    if not open_:
+        return found
+    names = F.array(*[F.lit(n) for n in open_])
+    tops = (
+        value_counts(df.select([column(n) for n in open_]))
+        .groupBy(F.get(names, F.col("pos")).alias("column"))
+        .agg(F.max("rows").alias("top_rows"))
+    )
+    known = F.col("top_rows").isNotNull()
+    exact = 1.0 - F.col("top_rows") / F.col("total_values")
+    return found.join(tops, "column", "left").select(
+        *[
+            F.when(known, exact).otherwise(F.col(c)).alias(c) if c == "evenness"
+            else F.when(known, 0.0).otherwise(F.col(c)).alias(c) if c == "evenness_error"
+            else F.col(c)
+            for c in found.columns
+        ]
+    )
