@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.cells import column
@@ -93,7 +93,7 @@ def replace_table(
         properties |= {HOME: old.location, VERSION: folder}
     try:
         writer.saveAsTable(quoted(new))
-    except AnalysisException as error:
+    except PySparkException as error:
         if error.getCondition() != "LOCATION_ALREADY_EXISTS":
             raise
         remove_folder(spark, folder)  # files of a replacement that failed while it wrote
@@ -168,5 +168,6 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     try:
         spark.sql(f"CREATE TABLE {gone} (id BIGINT) USING parquet")
         spark.sql(f"ALTER TABLE {gone} SET LOCATION {sql_text(path)}")
+        drop_table(spark, gone)
     finally:
         spark.sql(f"DROP DATABASE {quoted_part(database)} CASCADE")
