@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, id_filter, staged, text_batches
+from .common import components, id_filter, staged, text_batches, tidied
 
 WORDS = 5
 PERCENT = 80
@@ -194,7 +194,7 @@ def shingle_counts(docs: DataFrame, words: int, bits: int = DF_BITS) -> np.ndarr
                 [pa.array(part.astype(np.int32)), pa.array(total[part])], ["i", "c"]
             )
 
-    sums = docs.select("text").mapInArrow(count, "i int, c long").groupBy("i").agg(F.sum("c"))
+    sums = docs.select("text").mapInArrow(tidied(count), "i int, c long").groupBy("i").agg(F.sum("c"))
     table, counts = sums.toArrow(), np.zeros(size, dtype=np.int64)
     counts[table.column(0).to_numpy()] = table.column(1).to_numpy()
     return counts
@@ -270,7 +270,7 @@ def _indexed(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> D
                 schema=schema,
             )
 
-    return docs.mapInArrow(index, _INDEXED)
+    return docs.mapInArrow(tidied(index), _INDEXED)
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
@@ -351,7 +351,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
         F.lit(False).alias("hub"),
     )
     wanted = hubs.unionByName(partners).join(reps, "digest").select(
-        "digest", F.col("rep").alias("d"), "a", "salt", "hub"
+        "digest", F.col("rep_key").alias("d"), "a", "salt", "hub"
     )
     wanted = staged(wanted, "wanted")
 
@@ -360,7 +360,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
         for batch in text_batches(batches, "text"):
             found = shingles.sets([t or "" for t in batch.column("text").to_pylist()])
             wanted = batch.column("digest").to_pylist()
-            # An id may stand for other texts too; only the set that was indexed counts.
+            # A key is a hash; only the set that was indexed counts.
             kept = [len(x) > 0 and digest(x) == w for x, w in zip(found, wanted)]
             items = pa.array([x.tobytes() for x in found], pa.binary())
             columns = [batch.column(c) for c in ("a", "salt", "hub", "digest")]
@@ -368,9 +368,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
                 [*columns, items], ["a", "salt", "hub", "b", "items"]
             ).filter(pa.array(kept, pa.bool_()))
 
-    ids = wanted.select(F.col("d").alias("doc_id")).distinct()
-    texts = id_filter(docs.select("doc_id", "text"), ids, "doc_id")
-    texts = texts.join(wanted, F.expr("doc_id <=> d"))
+    # By the key of id and text: rows with a null or repeated id are not fetched for each other.
+    keys = wanted.select(F.col("d").alias("key")).distinct()
+    texts = id_filter(docs.select("key", "text"), keys, "key")
+    texts = texts.join(wanted, F.expr("key = d"))
     dealt = texts.select("a", "salt", "hub", "digest", "text").mapInArrow(
         sets, "a long, salt int, hub boolean, b long, items binary"
     )
@@ -394,7 +395,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, pe
             )
 
     dealt = dealt.repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("hub"))
-    return staged(dealt.mapInArrow(verify, "a long, b long").distinct(), "links")
+    return staged(dealt.mapInArrow(tidied(verify), "a long, b long").distinct(), "links")
 
 
 def linked_pairs(sets: list[np.ndarray], split: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -444,7 +445,7 @@ def _links_within(docs: DataFrame, members: DataFrame, words: int, percent: int)
     texts = id_filter(docs.select("key", "text"), wanted.select("key"), "key")
     texts = texts.join(wanted, "key").select("root", "blocks", "digest", "copies", "text")
     kinds = "root long, blocks int, digest long, copies long, items binary"
-    made = texts.mapInArrow(sets, kinds)
+    made = texts.mapInArrow(tidied(sets), kinds)
     made = made.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = made.withColumn("other", other).select(
@@ -487,7 +488,7 @@ def _links_within(docs: DataFrame, members: DataFrame, words: int, percent: int)
 
     key = ["root", "i", "j"]
     dealt = dealt.repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(compare, "a long, b long, ca long, cb long")
+    return dealt.mapInArrow(tidied(compare), "a long, b long, ca long, cb long")
 
 
 def near_duplicates(

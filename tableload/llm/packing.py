@@ -7,13 +7,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
-from .pretokens import PATTERN
+from .common import text_batches, tidied
+from .pretokens import PATTERN, chunks
 
 SEQUENCE = 2048
 BLOCK_TOKENS = 1 << 22  # tokens packed together; a task holds one such block
@@ -26,6 +27,27 @@ SCHEMA = (
 )
 
 
+# The characters with the White_Space property. Runs of them this long are encoded
+# apart from the encoder's splitter, whose look-ahead keeps a state for each character.
+_SPACES = regex.compile(
+    r"[\x09-\x0D \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]{4096,}"
+)
+
+
+def token_ids(encoding: tiktoken.Encoding, text: str) -> Iterator[list[int]]:
+    """The ids of a text, piece by piece, so that a long text is never held as one list.
+
+    A run of white space is one pre-token, but for its last character if something follows it:
+    that one begins the next pre-token. Nothing before a run depends on the run's length.
+    """
+    start = 0
+    for run in _SPACES.finditer(text):
+        yield from map(encoding.encode_ordinary, chunks(text[start : run.start()]))
+        start = run.end() if run.end() == len(text) else run.end() - 1
+        yield encoding._encode_single_piece(text[run.start() : start])
+    yield from map(encoding.encode_ordinary, chunks(text[start:]))
+
+
 class CapacityTree:
     """Free room of open rows: a segment tree over room sizes that counts rows of each size.
 
@@ -103,6 +125,14 @@ def _packed(block: list[tuple], size: int, pad: int, ids: str) -> dict[str, list
     return out
 
 
+def fill_rate(rows: DataFrame, size: int = SEQUENCE) -> DataFrame:
+    """One row on packed rows: how many, the tokens of documents in them, and their share of the
+    room (null without rows). Every partition of the input leaves at least its last row partly
+    empty, so many small partitions fill worse than few large ones."""
+    counted = rows.agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("tokens"))
+    return counted.withColumn("filled", F.col("tokens") / (F.col("rows") * size))
+
+
 def pack_documents(
     docs: DataFrame,
     ranks_path: str,
@@ -139,7 +169,8 @@ def pack_documents(
         )
         for batch in text_batches(batches, "text"):
             for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))):
-                tokens = np.array(encoding.encode_ordinary(text or "") + [end], dtype=ids)
+                parts = [np.array(p, dtype=ids) for p in token_ids(encoding, text or "")]
+                tokens = np.concatenate([*parts, np.array([end], dtype=ids)])
                 for start in range(0, len(tokens), size):
                     yield doc_id, start, tokens[start : start + size]
 
@@ -181,4 +212,4 @@ def pack_documents(
         ]
     )
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return chosen.mapInArrow(rows, SCHEMA)
+    return chosen.mapInArrow(tidied(rows), SCHEMA)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import text_batches, tidied
 
 #: Bounds of the sample that the classifier is fitted on, per label.
 DICTIONARY_DOCS = 1500
@@ -119,7 +119,7 @@ def fit_quality(
 
     # Bounded: 2 * dictionary_docs documents of at most PIECES * PIECE bytes (copies aside).
     first = texts.where("part").dropDuplicates(["doc_id"])
-    sample = first.mapInArrow(pieces, "label int, piece binary").toArrow().to_pydict()
+    sample = first.mapInArrow(tidied(pieces), "label int, piece binary").toArrow().to_pydict()
     trained = {}
     for label in (0, 1):
         own = sorted(p for x, p in zip(sample["label"], sample["piece"]) if x == label)
@@ -184,7 +184,7 @@ def _measure(rows: DataFrame, model: QualityModel, *columns: str) -> DataFrame:
             )
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in chosen.dtypes if n != "text")
-    return chosen.mapInArrow(run, f"{kinds}, difference double, plain double, score double")
+    return chosen.mapInArrow(tidied(run), f"{kinds}, difference double, plain double, score double")
 
 
 def score_quality(docs: DataFrame, model: QualityModel, *columns: str) -> DataFrame:
@@ -207,7 +207,7 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
             found = np.array([sizes.features(t or "") for t in texts]).reshape(-1, 2)
             yield batch.filter(pa.array(own.scores(found) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def learnable(doc_id: Column, parts: int, held: int) -> Column:
