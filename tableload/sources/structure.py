@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,16 +13,31 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path)
 
 
-def field_counts(line_df: DataFrame, sep: str = ",") -> DataFrame:
-    """How many non-blank lines have how many fields: ``fields``, ``lines``.
+def _quoted_cells(sep: str, quote: str) -> str:
+    """Pattern of a whole quoted cell and what stands before it."""
+    q = re.escape(quote)
+    return f"(\\A|{re.escape(sep)}){q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}"
+
+
+def _fields(sep: str, quote: str) -> Column:
+    """How many fields a line has; separators within quoted cells divide none."""
+    bare = F.col("value")
+    if quote:
+        cells = F.regexp_replace("value", _quoted_cells(sep, quote), "$1")
+        bare = F.when(bare.contains(quote), cells).otherwise(bare)
+    removed = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(sep)))
+    return (removed / len(sep)).cast("int") + 1
+
+
+def field_counts(line_df: DataFrame, sep: str = ",", quote: str = '"') -> DataFrame:
+    """How many non-blank lines have how many fields: ``fields``, ``lines``. Separators within
+    quoted cells do not count.
 
     Partial aggregation leaves one row per distinct field count and task to shuffle.
     """
-    removed = F.char_length("value") - F.char_length(F.replace("value", F.lit(sep)))
-    fields = (removed / len(sep)).cast("int") + 1
     return (
         line_df.where(F.trim("value") != "")
-        .groupBy(fields.alias("fields"))
+        .groupBy(_fields(sep, quote).alias("fields"))
         .agg(F.count("*").alias("lines"))
     )
 
@@ -31,20 +48,21 @@ def structure_report(
     """One row on the input's shape.
 
     ``first_fields`` comes from the first line; ``usual_fields`` is the most common count, the
-    first line's count winning ties; ``odd_lines`` differ from the first line. Lines with an
+    first line's count winning ties; ``odd_lines`` differ from the first line; separators within
+    quoted cells do not count. Lines with an
     odd number of quotes hint at quoted newlines (``multiline_hint``).
     """
     text = lines(spark, path)
     head = text.head()
     first = head["value"] if head else ""
     blank_first = not first.strip()
-    first_fields = 0 if blank_first else first.count(sep) + 1
+    bare = re.sub(_quoted_cells(sep, quote), r"\1", first) if quote else first
+    first_fields = 0 if blank_first else bare.count(sep) + 1
 
     quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit(quote)))
     split_quote = (quotes % 2 == 1) if quote else F.lit(False)
-    removed = F.char_length("value") - F.char_length(F.replace("value", F.lit(sep)))
     shape = text.select(
-        F.when(F.trim("value") != "", (removed / len(sep)).cast("int") + 1).alias("fields"),
+        F.when(F.trim("value") != "", _fields(sep, quote)).alias("fields"),
         split_quote.alias("split_quote"),
     )
     per_count = shape.groupBy("fields").agg(

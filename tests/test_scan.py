@@ -200,3 +200,13 @@ def test_digits_beyond_the_scale(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select("t", loses_digits(column("t"), 2).alias("lost")).collect()
     assert {r.t: r.lost for r in got} == texts
+
+
+def test_separators_in_quotes_divide_no_fields(spark, write_file):
+    path = write_file('a,b,c\n"1,2",x,"y,""z"",q"\n5" pipe,u,v\n1,2\n"m,n",o,p\n')
+    report = structure_report(spark, path).head()
+    assert (report.first_fields, report.usual_fields, report.odd_lines) == (3, 3, 1)
+    counted = {r.fields: r.lines for r in field_counts(lines(spark, path)).collect()}
+    assert counted == {3: 4, 2: 1}
+    first = write_file('"a,1",b\n"c,2",d\n', "first.csv")
+    assert structure_report(spark, first).head().first_fields == 2
