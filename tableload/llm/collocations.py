@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, tidied
 
 LEAST = 10  # occurrences of a candidate
 TOP = 2000  # candidates of a language
@@ -35,7 +35,7 @@ SAMPLE_EVERY = 8  # documents for each one of the sample
 SAMPLE_COUNT = 2  # occurrences in the sample that make a proposal
 FILTER_BITS = 26  # two to this power is the number of bits that tell the proposals
 _RUN = 1 << 20  # bytes of text counted at once
-_HELD = 1 << 20  # different phrases held by a task before it hands them on
+_HELD = 1 << 21  # occurrences that a task counts at once
 _ID_BITS = 21  # word numbers of a run, so that three fit into 63 bits
 _BREAK = b"."
 #: What ends a piece becomes one sign, and tabs become spaces.
@@ -103,6 +103,13 @@ def _runs(text: bytes, most: int = _RUN) -> Iterator[bytes]:
 _EDGE = re.compile(rb"[ .]")
 
 
+def _both(at: np.ndarray, n: int) -> np.ndarray:
+    """Of n places, where one of ``at`` is and the next one too."""
+    known = np.zeros(n, bool)
+    known[at] = True
+    return known[:-1] & known[1:]
+
+
 class _Counter:
     """Counts of the phrases of one language within a task."""
 
@@ -125,7 +132,7 @@ class _Counter:
         self._words: list[bytes] = [_BREAK]
         self._hashes = np.zeros(1, np.uint64)
         self._told, self._told_before = [np.zeros(1, bool)], [np.zeros(1, bool)]
-        self._held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: [], 3: []}
+        self._held: dict[int, list[np.ndarray]] = {1: [], 2: [], 3: []}
         self.n = self.size = 0
 
     def _number(self, tokens: list[bytes]) -> np.ndarray:
@@ -138,9 +145,8 @@ class _Counter:
         return np.fromiter(map(ids.__getitem__, tokens), np.int64, len(tokens))
 
     def _keep(self, size: int, keys: np.ndarray) -> None:
-        found = np.unique(keys, return_counts=True)
-        self._held[size].append(found)
-        self.size += len(found[0])
+        self._held[size].append(keys)
+        self.size += len(keys)
 
     def add(self, text: bytes) -> None:
         """Counts a text (lower case, pieces ended by the sign), run by run."""
@@ -162,37 +168,34 @@ class _Counter:
 
     def _pairs(self, ids: np.ndarray) -> None:
         """The pairs and threes that end in this run. A pair is due if both of its words were
-        proposed, three words if both of their pairs were."""
-        a, b = ids[1:-1], ids[2:]
-        whole = np.flatnonzero((a > 0) & (b > 0))
+        proposed, three words if both of their pairs were, unless they were due before."""
+        a, b = ids[:-1], ids[1:]
         if self._now is None:
-            self._keep(2, a[whole] << _ID_BITS | b[whole])
+            own = np.flatnonzero((a > 0) & (b > 0))
+            own = own[own > 0]
+            self._keep(2, a[own] << _ID_BITS | b[own])
             return
-        a, b = a[whole], b[whole]
-        due = self._told[0][a] & self._told[0][b]
+        told = self._told[0][ids]
+        pairs = told[:-1] & told[1:]
+        due = pairs.copy()
+        due[0] = False  # it ended in the run before
         if self._before is not None:
-            due &= ~(self._told_before[0][a] & self._told_before[0][b])
-        self._keep(2, a[due] << _ID_BITS | b[due])
+            told = self._told_before[0][ids]
+            due &= ~(told[:-1] & told[1:])
+        at = np.flatnonzero(due)
+        self._keep(2, a[at] << _ID_BITS | b[at])
         if self._longest < 3:
             return
-        # Pair i of the run ends at token i + 2; three words end there if pair i - 1 is one too.
-        a, b = ids[:-1], ids[1:]
-        is_pair = (a > 0) & (b > 0)
-        keys, back = np.unique((a << _ID_BITS | b)[is_pair], return_inverse=True)
-        mask = (1 << _ID_BITS) - 1
-        pair_hashes = _pair_hashes(self._hashes[keys >> _ID_BITS], self._hashes[keys & mask])
-
-        def both(p: Proposals) -> np.ndarray:
-            known = np.zeros(len(is_pair), bool)
-            known[is_pair] = p.has(pair_hashes)[back]
-            return known[:-1] & known[1:]
-
-        due = both(self._now)
+        # The words of a proposed pair were proposed too, so no other pair needs a look.
+        at = np.flatnonzero(pairs)
+        hashes = _pair_hashes(self._hashes[a[at]], self._hashes[b[at]])
+        held = self._now.has(hashes)
+        at, hashes = at[held], hashes[held]
+        due = _both(at, len(a))
         if self._before is not None:
-            due &= ~both(self._before)
+            due &= ~_both(at[self._before.has(hashes)], len(a))
         at = np.flatnonzero(due)
-        keys = (ids[at] << _ID_BITS | ids[at + 1]) << _ID_BITS | ids[at + 2]
-        self._keep(3, keys)
+        self._keep(3, (ids[at] << _ID_BITS | ids[at + 1]) << _ID_BITS | ids[at + 2])
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         """Hands the counts on and forgets them. The count of all words has the empty phrase."""
@@ -204,9 +207,8 @@ class _Counter:
         for size, parts in self._held.items():
             if not parts:
                 continue
-            keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            f = np.bincount(where, np.concatenate([c for _, c in parts]), len(keys))
-            f = f.astype(np.int64)
+            keys, f = np.unique(np.concatenate(parts), return_counts=True)
+            parts.clear()
             for start in range(0, len(keys), 1 << 16):
                 part = keys[start : start + (1 << 16)]
                 columns = [
@@ -250,7 +252,8 @@ def _counts(texts: DataFrame, least: int, longest: int, now=None, before=None) -
         for counter in counters.values():
             yield from counter.flush()
 
-    rows = texts.mapInArrow(run, "key string, f long").groupBy("key")
+    # Tasks have added up what repeats; adding up again before the shuffle would find little.
+    rows = texts.mapInArrow(tidied(run), "key string, f long").repartition("key").groupBy("key")
     phrase = F.substring_index("key", "\n", -1)
     spaces = F.length(phrase) - F.length(F.replace(phrase, F.lit(" "), F.lit("")))
     return rows.agg(F.sum("f").alias("f")).where(F.col("f") >= least).select(
@@ -281,7 +284,7 @@ def _new_bits(phrases: DataFrame, power: int, known=None) -> pa.Table:
             columns = [pa.array((places >> np.uint64(6)).astype(np.int64)), pa.array(bits)]
             yield pa.RecordBatch.from_arrays(columns, names=["word", "bits"])
 
-    rows = phrases.select("lang", "phrase").mapInArrow(run, "word long, bits long")
+    rows = phrases.select("lang", "phrase").mapInArrow(tidied(run), "word long, bits long")
     return rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
 
 
