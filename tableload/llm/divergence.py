@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, tidied
 
 #: Letters of the alphabet and all that is not ASCII, in UTF-8 bytes.
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -109,7 +109,7 @@ def term_counts(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """
     texts = docs.select(_filled("lang"), _filled("source"), _filled("text"))
     schema = "lang string, source string, term string, n long, docs long"
-    rows = texts.mapInArrow(_counted, schema)
+    rows = texts.mapInArrow(tidied(_counted), schema)
     rows = rows.repartition("lang", "term").groupBy("lang", "source", "term")
     summed = rows.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     alike = Window.partitionBy("lang", "term")
