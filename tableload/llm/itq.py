@@ -4,6 +4,7 @@ exact cosine."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ TABLES = 4
 MOST_BITS = 64
 ROUNDS = 50
 BLOCK = 1024  # vectors of a bucket compared at once
+_EXACT = ("array<float>", "array<double>")  # what goes into the cosine as it is
 
 
 def learn_rotation(sample: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +47,9 @@ def codes(units: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.nda
 
 def _units(column: pa.ListArray, dim: int) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    # By a power of two, which is exact, so that no square overflows or vanishes.
+    _, power = np.frexp(np.abs(values).max(1, keepdims=True))
+    values = np.ldexp(values, np.where(np.abs(power) > 400, -power, 0))
     return values / np.sqrt((values * values).sum(1, keepdims=True))
 
 
@@ -125,10 +130,11 @@ def link_vectors(
     Vectors of equal, non-null labels link when their cosine in double precision is at least
     ``cosine``. ``n_links`` counts the other rows linked directly, ``component_id`` is the least
     vec_id that links reach, ``kept`` whether it is the row's own. Vectors that are null, empty or
-    zero, that hold null or non-finite components, have a null label or another length than most
-    link with nothing. Repeated rows and ids count as vectors of their own; null ids are passed
+    zero, that hold null or non-finite components or have a null label link with nothing; those of
+    different lengths do not link. Components keep the type they come in. Repeated rows and ids count as vectors of their own; null ids are passed
     over when the least is sought.
 
+    Each length that two vectors or more have is a search of its own, with its own rotation.
     Equal vectors of a label become one class first. A rotation is learnt from a sample of at
     most ``sample`` vectors of least hash. Codes of 64 bits are cut into four tables; two codes
     meet if in some table they differ by one bit at most, so all within Hamming distance 7 do.
@@ -136,32 +142,34 @@ def link_vectors(
     more bit set; full vectors then decide. Every pair is judged once, buckets beyond 1024
     members in blocks; what leaves a task is one row per member, not per pair.
     """
-    spark = vectors.sparkSession
+    kind = vectors.schema["embedding"].dataType.simpleString()
     rows = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"),
         "label",
-        F.col("embedding").cast("array<float>").alias("embedding"),
+        F.col("embedding").cast(kind if kind in _EXACT else "array<double>").alias("embedding"),
     )
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     usable = F.coalesce(
         F.col("label").isNotNull() & ~odd & F.exists("embedding", lambda x: x != 0), F.lit(False)
     )
-    rows = rows.withColumn("usable", usable)
-    lengths = rows.where("usable").groupBy(F.size("embedding").alias("n")).count()
-    most = lengths.orderBy(F.desc("count"), "n").head()
-    none = rows.select(
+    rows = rows.withColumn("n", F.when(usable, F.size("embedding")).otherwise(0))
+    counted = rows.where("n > 0").groupBy("n").agg(F.count("*").alias("rows")).where("rows > 1")
+    lengths = sorted(r.n for r in counted.select("n").collect())
+    alone = rows.where(~F.col("n").isin(lengths)).select(
         "vec_id",
         F.lit(0).cast("long").alias("n_links"),
         F.col("vec_id").alias("component_id"),
         F.col("vec_id").isNotNull().alias("kept"),
     )
-    if most is None:
-        return none
-    dim = most.n
-    fits = F.col("usable") & (F.size("embedding") == dim)
+    linked = [_linked(rows.where(F.col("n") == n).drop("n"), n, cosine, sample) for n in lengths]
+    return reduce(DataFrame.unionByName, linked, alone)
+
+
+def _linked(rows: DataFrame, dim: int, cosine: float, sample: int) -> DataFrame:
+    """``link_vectors`` for usable vectors of one length."""
+    spark = rows.sparkSession
     classes = (
-        rows.where(fits)
-        .groupBy("label", "embedding")
+        rows.groupBy("label", "embedding")
         .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
         .withColumn("cid", F.monotonically_increasing_id())
     )
@@ -179,10 +187,12 @@ def link_vectors(
                 [*batch.columns, pa.array(code.view(np.int64))], [*batch.schema.names, "code"]
             )
 
-    kind = dict(classes.dtypes)["label"]
+    kinds = dict(classes.dtypes)
     coded = staged(
         classes.select("cid", "label", "copies", "embedding").mapInArrow(
-            encode, f"cid long, label {kind}, copies long, embedding array<float>, code long"
+            encode,
+            f"cid long, label {kinds['label']}, copies long, embedding {kinds['embedding']}, "
+            "code long",
         ),
         "codes",
     )
@@ -234,20 +244,9 @@ def link_vectors(
         .join(counts, "cid", "left")
         .select("cid", "component_id", F.coalesce("more", F.lit(0)).alias("more"))
     )
-    linked = (
-        rows.where(fits)
-        .join(classes.join(named, "cid"), ["label", "embedding"])
-        .select(
-            "vec_id",
-            (F.col("copies") - 1 + F.col("more")).alias("n_links"),
-            "component_id",
-            F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"),
-        )
-    )
-    rest = rows.where(~fits).select(
+    return rows.join(classes.join(named, "cid"), ["label", "embedding"]).select(
         "vec_id",
-        F.lit(0).cast("long").alias("n_links"),
-        F.col("vec_id").alias("component_id"),
-        F.col("vec_id").isNotNull().alias("kept"),
+        (F.col("copies") - 1 + F.col("more")).alias("n_links"),
+        "component_id",
+        F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
-    return linked.unionByName(rest)

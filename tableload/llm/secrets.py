@@ -20,8 +20,10 @@ LEAST_ASSIGNED = 6
 #: Runs that the battery judges, and the share of false finds it allows among its finds.
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}={0,2}"
 FALSE_SHARE = 0.01
-REJECT = 0.01
+FALSE_REJECTED = 0.01  # share of random runs among those that the battery rejects
+LEAST_RUN = 20
 _MOST_NATS = 200
+_CELL = 256  # code points; runs and base spans meet by the cells they lie in
 
 # Relative frequency of letters a to z in ordinary text, in percent.
 LETTER_PERCENT = (
@@ -218,25 +220,97 @@ def battery(runs: DataFrame, run: str = "run") -> DataFrame:
     )
 
 
-def _thresholds(judged: DataFrame, false_share: float) -> DataFrame:
-    """Per band of lengths: the least whole number of nats at which Benjamini-Hochberg keeps the
-    expected share of false finds below ``false_share`` among that band's runs."""
-    counts = judged.groupBy("band", "bin").agg(F.count("*").alias("c"))
+def _thresholds(judged: DataFrame, bin_column: str, false_share: float) -> DataFrame:
+    """Per band of lengths: the least bin from which Benjamini-Hochberg keeps the expected share
+    of false finds below ``false_share`` among the band's runs, where a run in bin b has a
+    p-value of exp(-b) at most. No row for a band without finds."""
+    counts = judged.groupBy("band", F.col(bin_column).alias("bin")).agg(F.count("*").alias("c"))
     at_least = Window.partitionBy("band").orderBy(F.desc("bin"))
     whole = Window.partitionBy("band")
     ranked = counts.withColumns({"above": F.sum("c").over(at_least), "m": F.sum("c").over(whole)})
     holds = F.exp(-F.col("bin")) <= F.col("above") / F.col("m") * false_share
-    return ranked.where(holds).groupBy("band").agg(F.min("bin").alias("least_bin"))
+    return ranked.where(holds).groupBy("band").agg(F.min("bin").alias(f"least_{bin_column}"))
+
+
+def controlled(judged: DataFrame, false_share: float, false_rejected: float) -> DataFrame:
+    """The runs of a battery's result that are taken for secrets, by two false-discovery controls
+    within each band of lengths (powers of two):
+
+    - the battery's combined p-value rejects runs as not random, such that of the rejected ones a
+      share of ``false_rejected`` at most is expected to be random;
+    - of what it does not reject, the likelihood ratio to ordinary text must pass, such that of
+      all that pass a share of ``false_share`` at most is expected to be ordinary text. In a
+      short run it cannot get large, so short runs need more agreement among their like.
+    """
+
+    def binned(value: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(_MOST_NATS), F.floor(value)))
+
+    judged = judged.withColumns(
+        {
+            "band": F.floor(F.log2("n")),
+            "told": binned(F.col("nats")),
+            "odd": binned(-F.log(F.greatest("p_random", F.lit(1e-90)))),
+        }
+    )
+    return (
+        judged.join(_thresholds(judged, "told", false_share), "band")
+        .join(_thresholds(judged, "odd", false_rejected), "band", "left")
+        .where("told >= least_told and (least_odd is null or odd < least_odd)")
+    )
+
+
+def _outside(runs: DataFrame, found: DataFrame) -> DataFrame:
+    """The parts of the runs (row, span) that lie outside all base spans, if long enough.
+
+    Runs and base spans of a text meet by the cells they lie in, not each with each."""
+
+    def cells(span: str) -> Column:
+        return F.explode(F.expr(f"sequence({span}.start div {_CELL}, ({span}.end - 1) div {_CELL})"))
+
+    base = found.where(F.size("base") > 0).select("row", F.explode("base").alias("b"))
+    base = base.select("row", "b.start", "b.end", cells("b").alias("cell"))
+    met = runs.select("row", "span", cells("span").alias("cell")).join(base, ["row", "cell"])
+    cut = F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts")
+    cuts = met.where("start < span.end and span.start < end")
+    cuts = cuts.groupBy(F.col("row").alias("in_row"), F.col("span.start").alias("at")).agg(cut)
+
+    def piece(start: Column, end: Column) -> Column:
+        return F.struct(
+            start.alias("start"),
+            F.col("span.kind").alias("kind"),
+            end.alias("end"),
+            F.substring("span.text", start - F.col("span.start") + 1, end - start).alias("text"),
+        )
+
+    def take(acc: Column, c: Column) -> Column:
+        between = F.array(piece(acc["at"], F.greatest(acc["at"], c["start"])))
+        return F.struct(
+            F.greatest(acc["at"], c["end"]).alias("at"),
+            F.concat(acc["pieces"], between).alias("pieces"),
+        )
+
+    end = F.col("span.end")
+    first = F.struct(F.col("span.start").alias("at"), F.array().cast(_SPAN).alias("pieces"))
+    pieces = F.aggregate(
+        "cuts",
+        first,
+        take,
+        lambda acc: F.concat(acc["pieces"], F.array(piece(acc["at"], F.greatest(acc["at"], end)))),
+    )
+    pieces = F.when(F.col("cuts").isNull(), F.array("span")).otherwise(pieces)
+    at = F.expr("row = in_row and span.start = at")
+    parts = runs.join(cuts, at, "left").select("row", F.explode(pieces).alias("span"))
+    return parts.where(F.length("span.text") >= LEAST_RUN)
 
 
 def find_secrets(docs: DataFrame, text: str = "text", false_share: float = FALSE_SHARE) -> DataFrame:
     """Per row of ``docs``: doc_id and ``spans``, an array of (start, kind, end, text).
 
     Positions count code points, the end is exclusive. Base kinds are assign, access and hex;
-    ``random`` marks runs of 20 or more base64 or base64url characters that overlap no base span,
-    that the battery does not reject as uniform and independent (p_random at 1% or more), and
-    whose likelihood ratio to ordinary text passes Benjamini-Hochberg within the run's band of
-    lengths (powers of two). Runs are judged against all runs of all texts.
+    ``random`` marks runs of 20 or more base64 or base64url characters, what base spans take of
+    them cut out and the rest judged piece by piece, that pass both controls of ``controlled``.
+    Runs are judged against all runs of all texts.
 
     Null and empty texts have no spans; repeated rows are judged each; spans are sorted by start,
     then kind in the order named. Texts are scanned once: what the patterns find is staged as a
@@ -252,24 +326,11 @@ def find_secrets(docs: DataFrame, text: str = "text", false_share: float = FALSE
         F.array_sort(base).alias("base"),
         _found(body, CANDIDATE, 3).alias("runs"),
     )
-    clash = F.filter(
-        "runs",
-        lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])),
-    )
-    found = staged(found.withColumn("runs", clash), "runs")  # the row numbers hold from here
+    found = staged(found, "runs")  # the row numbers hold from here
     runs = found.where(F.size("runs") > 0).select("row", F.explode("runs").alias("span"))
+    runs = staged(_outside(runs, found), "pieces")
     judged = staged(battery(runs.select(F.col("span.text").alias("run")).distinct()), "judged")
-    judged = judged.withColumns(
-        {
-            "band": F.floor(F.log2("n")),
-            "bin": F.greatest(F.lit(0), F.least(F.lit(_MOST_NATS), F.floor("nats"))),
-        }
-    )
-    secret = (
-        judged.join(_thresholds(judged, false_share), "band")
-        .where((F.col("bin") >= F.col("least_bin")) & (F.col("p_random") >= REJECT))
-        .select("run")
-    )
+    secret = controlled(judged, false_share, FALSE_REJECTED).select("run")
     added = (
         runs.join(secret, runs["span.text"] == secret.run)
         .groupBy("row")
