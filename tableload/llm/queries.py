@@ -101,10 +101,13 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
         return F.array_join(F.transform(spans, name), ",")
 
+    def of_kind(i):
+        # One parameter only: a second one of the function would be the span's place.
+        return F.filter("spans", lambda s: s["kind"] == i)
+
     base = F.filter("spans", lambda s: s["kind"] < 3)
     counts = [
-        F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}")
-        for i, k in enumerate(KINDS[:3])
+        F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])
     ]
     return found.select(
         "doc_id",
