@@ -181,19 +181,21 @@ class _Counter:
         due[0] = False  # it ended in the run before
         if self._before is not None:
             told = self._told_before[0][ids]
-            due &= ~(told[:-1] & told[1:])
+            former = told[:-1] & told[1:]
+            due &= ~former
         at = np.flatnonzero(due)
         self._keep(2, a[at] << _ID_BITS | b[at])
         if self._longest < 3:
             return
-        # The words of a proposed pair were proposed too, so no other pair needs a look.
+        # The words of a proposed pair were proposed too, so no other pair needs a look. A pair
+        # that has its bits by chance counts only from when its words were proposed: now as before.
         at = np.flatnonzero(pairs)
         hashes = _pair_hashes(self._hashes[a[at]], self._hashes[b[at]])
         held = self._now.has(hashes)
         at, hashes = at[held], hashes[held]
         due = _both(at, len(a))
         if self._before is not None:
-            due &= ~_both(at[self._before.has(hashes)], len(a))
+            due &= ~_both(at[former[at] & self._before.has(hashes)], len(a))
         at = np.flatnonzero(due)
         self._keep(3, (ids[at] << _ID_BITS | ids[at + 1]) << _ID_BITS | ids[at + 2])
 

@@ -5,7 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 
+import pytest
+
+from tableload.llm.collocations import phrase_counts
 from tableload.llm.queries import QUERIES
 from tableload.llm.secrets import ASSIGN, KINDS
 
@@ -34,3 +38,21 @@ def test_secret_scans_count_each_kind(spark, tmp_path):
     frame.write.parquet(str(tmp_path / "documents.parquet"))
     got = [tuple(r)[:5] for r in QUERIES["op9_secret_scans"](spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted(((i, *_base(t or "")) for i, t in rows), key=str)
+
+
+@pytest.mark.parametrize(("every", "bits"), [(64, 10), (64, 12), (8, 12)])
+def test_bits_set_by_chance_lose_no_phrase(spark, every, bits):
+    """Pairs that have their bits from others before their words are proposed."""
+    rng = random.Random(3)
+    texts = [
+        " ".join(f"v{min(2999, int(rng.paretovariate(0.6)))}" for _ in range(80)) for _ in range(3000)
+    ]
+    expected = Counter()
+    for text in texts:
+        w = text.split()
+        for size in (1, 2, 3):
+            expected.update(" ".join(w[i : i + size]) for i in range(len(w) - size + 1))
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id int, text string, lang string")
+    found = phrase_counts(rows, 10, sample_every=every, filter_bits=bits).where("size > 0").collect()
+    assert len(found) == len({r.phrase for r in found})
+    assert {r.phrase: r.f for r in found} == {p: n for p, n in expected.items() if n >= 10}
