@@ -23,7 +23,7 @@ from tableload.sinks.chunks import chunk_plan
 from tableload.sinks.table import file_stats, write_table
 from tableload.sources.csv import Dialect
 
-from .registry import query, table, write_csv, write_lines
+from .registry import dealt, query, table, write_csv, write_lines
 
 _ORDERS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 
@@ -449,7 +449,7 @@ def write_overwrite_large(spark, sf_dir):
         "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate"
     )
     write_table(lineitem, target)
-    later = lineitem.where("l_linenumber <> 4").repartition(6, "l_orderkey")
+    later = dealt(lineitem.where("l_linenumber <> 4"))
     result = load_csv(spark, write_csv(later, "lineitem"), target, mode="overwrite")
     if not result.success:
         raise RuntimeError(result.error)
@@ -480,7 +480,7 @@ def dry_run_ddl(spark, sf_dir):
 def load_split_quotes(spark, sf_dir):
     """Quoted cells with newlines load as one row each, and the dry run says so."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    path, target = write_csv(docs.repartition(3, "doc_id"), "documents"), _target(spark)
+    path, target = write_csv(dealt(docs), "documents"), _target(spark)
     plan = load_csv(spark, path, target, dry_run=True)
     result = load_csv(spark, path, target)
     if not result.success:
