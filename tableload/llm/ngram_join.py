@@ -9,7 +9,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, id_filter, staged, text_batches, tidied
@@ -587,9 +587,11 @@ def near_classes(
         "reps",
     )
     sigs = indexed.where("sig is not null").select("sig", "digest", "n", "rare", "wide", "rares")
-    spread = sigs.groupBy("sig").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
-    spread = staged(spread.where("low <> high").select("sig"), "spread")
-    members = staged(sigs.join(spread, "sig", "left_semi").distinct(), "met")
+    # Signatures of one set alone go first; all are moved once, for the two ends and the rows.
+    alike = Window.partitionBy("sig")
+    ends = {"low": F.min("digest").over(alike), "high": F.max("digest").over(alike)}
+    members = sigs.withColumns(ends).where("low <> high").drop("low", "high")
+    members = staged(members.distinct(), "met")
     met = (
         members.where("wide and rare")
         .groupBy("digest")

@@ -9,6 +9,7 @@ from collections import Counter
 
 import pytest
 
+from tableload.llm import ngram_join
 from tableload.llm.collocations import phrase_counts
 from tableload.llm.queries import QUERIES
 from tableload.llm.secrets import ASSIGN, KINDS
@@ -56,3 +57,22 @@ def test_bits_set_by_chance_lose_no_phrase(spark, every, bits):
     found = phrase_counts(rows, 10, sample_every=every, filter_bits=bits).where("size > 0").collect()
     assert len(found) == len({r.phrase for r in found})
     assert {r.phrase: r.f for r in found} == {p: n for p, n in expected.items() if n >= 10}
+
+
+def test_signatures_are_moved_once(spark, docs, monkeypatch):
+    """Until those of one set alone are gone, there are many times more than the rest needs."""
+    moves, staged = [], ngram_join.staged
+
+    def noted(df, name):
+        if name in ("spread", "met"):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            moves.extend(re.findall(r"Exchange \w+", plan))
+        return staged(df, name)
+
+    monkeypatch.setattr(ngram_join, "staged", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ngram_join.near_classes(docs, 3, 90)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert moves == ["Exchange hashpartitioning"]
